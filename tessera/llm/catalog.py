@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import neardup
+from pyspark.sql import functions as F
+
+from tessera.llm import history, neardup
 from tessera.session import table
 
 
@@ -14,8 +16,18 @@ def p1_groups(spark, d):
     return neardup.similar_groups(table(spark, d, "code_chunks"), "chunk_id", "content")
 
 
+def p6_found(spark, d):
+    return history.replay(table(spark, d, "code_chunks"), table(spark, d, "ingest_runs")).where("turned_away").select("chunk_id")
+
+
+def p6_report(spark, d):
+    """Per project and run time: chunks brought in, accepted and turned away."""
+    r = history.replay(table(spark, d, "code_chunks"), table(spark, d, "ingest_runs"))
+    return r.groupBy("project", "at").agg(F.count("*").alias("chunks"), F.count_if(~F.col("turned_away")).alias("accepted"), F.count_if("turned_away").alias("turned_away"))
+
+
 def queries():
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p6_found": p6_found, "p6_report": p6_report}
 
 
 def oracle_sql():
