@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import history, neardup
-from tessera.session import table
+from tessera.llm import history, neardup, neighbours
+from tessera.session import stage, table, union_all
 
 
 def p1_found(spark, d):
@@ -16,6 +16,42 @@ def p1_groups(spark, d):
     return neardup.similar_groups(table(spark, d, "code_chunks"), "chunk_id", "content")
 
 
+VECTOR_TABLES = (("code_chunks", "chunk_id"), ("adrs", "id"))
+
+
+def _near(spark, d, name, key, least=0.9, relax=4.0, asked=False):
+    v = stage(neighbours.usable(table(spark, d, name), key, "embedding"), "vectors")
+    return v, neighbours.neighbours(v, key, 5, least, relax, neighbours.every_twentieth(v, key) if asked else None)
+
+
+def p4_found(spark, d):
+    parts = []
+    for name, key in VECTOR_TABLES:
+        near = _near(spark, d, name, key)[1]
+        parts.append(near.select(F.lit(name).alias("table_name"), F.least(key, "other").alias("id_a"), F.greatest(key, "other").alias("id_b")).distinct())
+    return union_all(parts)
+
+
+def p4_neighbours(spark, d):
+    """The 5 most similar records of every record whose id is divisible by 20, whatever their similarity."""
+    parts = []
+    for name, key in VECTOR_TABLES:
+        near = _near(spark, d, name, key, least=0.4, relax=3.0, asked=True)[1]
+        parts.append(near.select(F.lit(name).alias("table_name"), F.col(key).alias("id"), F.col("other").alias("neighbour"), F.round("sim", 4).alias("sim")))
+    return union_all(parts)
+
+
+def p4_recall(spark, d):
+    """Missed share against brute force over the stated query set, for links of at least 0.90 and for all 5 nearest."""
+    parts = []
+    for name, key in VECTOR_TABLES:
+        for least, relax, counted in ((0.9, 4.0, 0.9), (0.4, 3.0, -1.0)):
+            v, near = _near(spark, d, name, key, least, relax, asked=True)
+            exact = stage(neighbours.exact_neighbours(v, key, neighbours.every_twentieth(v, key)), "exact")
+            parts.append(neighbours.recall(near, exact, key, counted).withColumn("table_name", F.lit(name)).withColumn("least_sim", F.lit(counted)))
+    return union_all(parts)
+
+
 def p6_found(spark, d):
     return history.replay(table(spark, d, "code_chunks"), table(spark, d, "ingest_runs")).where("turned_away").select("chunk_id")
 
@@ -27,7 +63,7 @@ def p6_report(spark, d):
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_report": p6_report}
 
 
 def oracle_sql():
