@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import history, neardup, neighbours
+from tessera.llm import history, mixing, neardup, neighbours, splitting
 from tessera.session import stage, table, union_all
 
 
@@ -52,6 +52,22 @@ def p4_recall(spark, d):
     return union_all(parts)
 
 
+def p5_pieces(spark, d):
+    return splitting.split_oversized(table(spark, d, "code_chunks"))
+
+
+def p5_found(spark, d):
+    return p5_pieces(spark, d).where("piece_no = 1 and n_pieces > 1").select("chunk_id")
+
+
+def p9_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p6_found(spark, d):
     return history.replay(table(spark, d, "code_chunks"), table(spark, d, "ingest_runs")).where("turned_away").select("chunk_id")
 
@@ -63,8 +79,11 @@ def p6_report(spark, d):
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p9_mix": p9_mix, "p9_report": p9_report}
+
+
+P5_FOUND = "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 8000"
 
 
 def oracle_sql():
-    return {}
+    return {"p5_found": P5_FOUND}
