@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import history, mixing, neardup, neighbours, splitting
+from tessera.llm import credentials, history, mixing, neardup, neighbours, origin, splitting
 from tessera.session import stage, table, union_all
 
 
@@ -16,6 +16,14 @@ def p1_groups(spark, d):
     return neardup.similar_groups(table(spark, d, "code_chunks"), "chunk_id", "content")
 
 
+def p2_found(spark, d):
+    return credentials.credential_rows(table(spark, d, "code_chunks"))
+
+
+def p2_redacted(spark, d):
+    return credentials.redacted(table(spark, d, "code_chunks"))
+
+
 VECTOR_TABLES = (("code_chunks", "chunk_id"), ("adrs", "id"))
 
 
@@ -60,6 +68,14 @@ def p5_found(spark, d):
     return p5_pieces(spark, d).where("piece_no = 1 and n_pieces > 1").select("chunk_id")
 
 
+def p7_origins(spark, d):
+    return origin.origins(table(spark, d, "code_chunks"))
+
+
+def p7_found(spark, d):
+    return p7_origins(spark, d).select("project_id", "file_path")
+
+
 def p9_mix(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -79,7 +95,7 @@ def p6_report(spark, d):
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p9_mix": p9_mix, "p9_report": p9_report}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_origins": p7_origins, "p9_mix": p9_mix, "p9_report": p9_report}
 
 
 P5_FOUND = "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 8000"

@@ -24,7 +24,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         hop = large.join(low2, "u")
         small = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hop.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = stage(small, "edges")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
+        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("v")).collect()[0]
         if mark == last:
             break
         last = mark
