@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, history, mixing, neardup, neighbours, origin, splitting
+from tessera.llm import credentials, history, leaks, mixing, neardup, neighbours, origin, quality, splitting
 from tessera.session import stage, table, union_all
 
 
@@ -76,6 +76,14 @@ def p7_found(spark, d):
     return p7_origins(spark, d).select("project_id", "file_path")
 
 
+def p8_found(spark, d):
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_report(spark, d):
+    return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_mix(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -94,8 +102,16 @@ def p6_report(spark, d):
     return r.groupBy("project", "at").agg(F.count("*").alias("chunks"), F.count_if(~F.col("turned_away")).alias("accepted"), F.count_if("turned_away").alias("turned_away"))
 
 
+def p10_stats(spark, d):
+    return quality.classify(table(spark, d, "documents"))
+
+
+def p10_found(spark, d):
+    return quality.not_prose(p10_stats(spark, d)).select("doc_id").distinct()
+
+
 def queries():
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_origins": p7_origins, "p9_mix": p9_mix, "p9_report": p9_report}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_origins": p7_origins, "p8_found": p8_found, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_stats": p10_stats}
 
 
 P5_FOUND = "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 8000"
