@@ -23,7 +23,7 @@ from tessera.session import stage
 
 DIM = 64
 SAMPLE = 20_000
-SHARD = 25_000
+SHARD = 100_000
 LEAF = 192
 
 
@@ -162,7 +162,7 @@ def search_shard(points: np.ndarray, queries: np.ndarray, same: np.ndarray, k: i
     return qi[keep], pj[keep], s[keep]
 
 
-def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float = 0.9, relax: float = 4.0, queries: DataFrame | None = None) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float = 0.9, relax: float = 7.0, queries: DataFrame | None = None, shard_rows: int = SHARD) -> DataFrame:
     """(key, other, sim): the up to k most similar other records with sim >= least, ties by id.
 
     ``vectors`` come from :func:`usable`. ``least`` sets the search radius sqrt(2 - 2 least). ``queries`` (a subset of the
@@ -178,7 +178,7 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float = 0.9, rel
         return vectors.select(key, F.col(key).alias("other"), F.lit(0.0).alias("sim")).limit(0)
     share = min(1.0, SAMPLE / total)
     picked = classes.select("vec").where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * SAMPLE).toPandas()
-    shards = max(1, min(-(-total // SHARD), SAMPLE // 64))
+    shards = max(1, min(-(-total // shard_rows), SAMPLE // 64))
     top = spark.sparkContext.broadcast(TopTree(matrix(picked["vec"]) if len(picked) else np.empty((0, DIM), np.float32), shards))
     slack = float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) / relax
 
