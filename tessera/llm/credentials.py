@@ -382,7 +382,8 @@ def credential_rows(chunks: DataFrame) -> DataFrame:
                     found = credential_lines(text, path)
                     ids += [cid] * len(found)
                     nos += found
-            yield pd.DataFrame({"chunk_id": ids, "line_no": pd.array(nos, dtype="int64")})
+            if ids:
+                yield pd.DataFrame({"chunk_id": ids, "line_no": pd.array(nos, dtype="int64")})
 
     return chunks.select("chunk_id", "file_path", "content").where("chunk_id is not null").mapInPandas(run, "chunk_id string, line_no bigint").distinct()
 
@@ -397,6 +398,7 @@ def redacted(chunks: DataFrame) -> DataFrame:
                 n = len(credential_lines(text, path)) if text else 0
                 if n:
                     rows.append((cid, mask(text, path), n))
-            yield pd.DataFrame(rows, columns=["chunk_id", "content", "n_masked"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["chunk_id", "content", "n_masked"])
 
     return chunks.select("chunk_id", "file_path", "content").where("chunk_id is not null").mapInPandas(run, "chunk_id string, content string, n_masked int").dropDuplicates(["chunk_id"])

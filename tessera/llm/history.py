@@ -50,7 +50,8 @@ def forest_keys(classes: DataFrame, trees: int = TREES, depth: int = DEPTH) -> D
                     np.minimum(low, part.min(axis=0), out=low)
                 raw = (low >> np.uint64(32)).astype(">u4").reshape(trees, depth)
                 keys.append([row.tobytes() for row in raw])
-            yield pd.DataFrame({"cls": batch["cls"], "keys": keys})
+            if keys:
+                yield pd.DataFrame({"cls": batch["cls"], "keys": keys})
 
     return classes.select("cls", "blob").mapInPandas(run, "cls binary, keys array<binary>")
 

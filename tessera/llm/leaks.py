@@ -80,10 +80,11 @@ class ItemIndex:
             raise ValueError("the evaluation items are too large to hold on every executor; pass them in parts")
         self.words = item_bodies(items)
         keys, owners, places = [], [], []
-        for i, w in self.words.items():
+        self.ids = list(self.words)
+        for o, w in enumerate(self.words.values()):
             g = grams(" ".join(w).encode())
             keys.append(g)
-            owners.append(np.full(len(g), i, np.int64))
+            owners.append(np.full(len(g), o, np.int64))
             places.append(np.arange(len(g), dtype=np.int64))
         none = [np.empty(0, np.int64)]
         key = np.concatenate(keys or [np.empty(0, np.uint64)])
@@ -105,12 +106,14 @@ class ItemIndex:
         found: set[int] = set()
         for shift in (0, BAND // 2):
             band = (diagonal + shift) // BAND
-            pair = np.stack([owner, band, at // 256], axis=1)  # a passage is local in the document, too
-            for half in (0, 128):
-                pair[:, 2] = (at + half) // 256
-                kinds, count = np.unique(pair, axis=0, return_counts=True)
-                found.update(kinds[count >= LEAST_HITS, 0].tolist())
-        return sorted(found)
+            band -= band.min()
+            n_bands = int(band.max()) + 1
+            n_owners = int(owner.max()) + 1
+            for half in (0, 128):  # a passage is local in the document, too
+                pair = ((at + half) // 256 * n_bands + band) * n_owners + owner
+                kinds, count = np.unique(pair, return_counts=True)
+                found.update((kinds[count >= LEAST_HITS] % n_owners).tolist())
+        return [self.ids[o] for o in sorted(found)]
 
 
 def runs(item: list[str], doc: list[str]) -> list[tuple[int, int, int]]:
@@ -191,7 +194,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 for i in ix.candidates(" ".join(w).encode()):
                     if holds(ix.words[i], w):
                         out.append((d, i))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"], dtype="int64")
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item_id"], dtype="int64")
 
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, "doc_id bigint, item_id bigint").distinct()
 

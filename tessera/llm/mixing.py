@@ -46,7 +46,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(tokenizer)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [len(enc.encode_ordinary(t)) for t in batch["text"]]})
+            if len(batch):
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [len(enc.encode_ordinary(t)) for t in batch["text"]]})
 
     kept = docs.select("doc_id", norm_source(F.col("source")).alias("source"), "text").where("doc_id is not null and source is not null and text is not null")
     return kept.mapInPandas(run, "doc_id bigint, source string, tokens bigint").where("tokens > 0").dropDuplicates(["doc_id"])
@@ -58,6 +59,8 @@ def place(counts: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, carry = TaskContext.get().partitionId(), {}
         for batch in batches:
+            if not len(batch):
+                continue
             total = batch.groupby("source", sort=False)["tokens"].cumsum()
             base = batch["source"].map(lambda s: carry.get(s, 0))
             out = batch[["doc_id", "source", "tokens"]].assign(part=part, inside=(total + base - batch["tokens"]).astype("int64"))

@@ -62,13 +62,13 @@ def prefix_level(freqs: np.ndarray, base: int, levels: int = LEVELS) -> int:
     ``freqs`` are the estimated frequencies in prefix order; of the postings met in an l-prefix at most 1/l can reach l hits.
     """
     best, cost = 1, math.inf
-    hits = float(freqs[:base].sum())
+    hits = float(np.maximum(freqs[:base] - 1, 0).sum())
     for level in range(1, levels + 1):
         if base + level - 1 > len(freqs):
             break
         if level > 1:
-            hits += float(freqs[base + level - 2])
-        now = hits + VERIFY_COST * hits / (level * level)
+            hits += max(float(freqs[base + level - 2]) - 1, 0.0)
+        now = base + level - 1 + hits + VERIFY_COST * hits / (level * level)
         if now < cost:
             best, cost = level, now
     return best
@@ -88,15 +88,17 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
                 est = table[(hs % COUNTERS).astype(np.int64)]
                 order = np.lexsort((hs, est))
                 base = n - math.ceil(threshold * n - 1e-9) + 1
-                # a counter's noise floor is the mean load: only what stands out tells a frequent element
-                level = prefix_level(np.maximum(est[order].astype(np.float64) - load, 1.0), base)
+                # other elements share a counter: only what stands out of that noise tells a frequent element
+                level = prefix_level(np.maximum(est[order].astype(np.float64) - noise, 1.0), base)
                 cls.append(c)
                 ns.append(n)
                 levels.append(level)
                 tokens.append((hs[order[: base + level - 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pd.DataFrame({"cls": cls, "n": ns, "level": levels, "tokens": tokens})
+            if cls:
+                yield pd.DataFrame({"cls": cls, "n": ns, "level": levels, "tokens": tokens})
 
     load = float(freq.value.mean())
+    noise = load + 3 * math.sqrt(load)
     p = classes.select("cls", "n", "blob").mapInPandas(postings, "cls binary, n int, level int, tokens array<int>")
     p = p.select("cls", "n", "level", F.explode("tokens").alias("token"))
     x = p.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("level").alias("la"))

@@ -45,7 +45,8 @@ def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
                     continue
                 keys.append(k)
                 vecs.append((x / norm).astype("<f4").tobytes())
-            yield pd.DataFrame({key: keys, "vec": vecs})
+            if keys:
+                yield pd.DataFrame({key: keys, "vec": vecs})
 
     good = df.select(F.col(key).cast("string").alias(key), vector).where(F.col(vector).isNotNull() & (F.size(vector) == dim))
     return good.mapInPandas(run, f"{key} string, vec binary").groupBy(key).agg(F.min("vec").alias("vec"))
@@ -205,7 +206,7 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float = 0.9, rel
         asks = group["asks"].to_numpy() == 1
         pid, qid = group["cls"].to_numpy()[~asks], group["cls"].to_numpy()[asks]
         if not len(pid) or not len(qid):
-            return pd.DataFrame({"cls": [], "near": [], "sim": []})
+            return pd.DataFrame({"cls": pd.Series([], dtype=object), "near": pd.Series([], dtype=object), "sim": pd.Series([], dtype=float)})
         vec = group["vec"].to_numpy()
         at = {c: i for i, c in enumerate(pid)}
         same = np.array([at.get(c, -1) for c in qid], np.int64)
@@ -248,7 +249,7 @@ def exact_neighbours(vectors: DataFrame, key: str, queries: DataFrame, k: int =
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy() == 1
         if not asks.any() or asks.all():
-            return pd.DataFrame({key: [], "other": [], "sim": []})
+            return pd.DataFrame({key: pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "sim": pd.Series([], dtype=float)})
         ids, vec = group[key].to_numpy(), group["vec"].to_numpy()
         x, p, xi, pi = matrix(vec[asks]), matrix(vec[~asks]), ids[asks], ids[~asks]
         out = []

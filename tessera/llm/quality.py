@@ -164,7 +164,8 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(k, *statistics(t)) for k, t in zip(batch[key], batch[text]) if t is not None and t.strip()]
-            yield pd.DataFrame(rows, columns=[key, *STATS])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, *STATS])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{c} double" for c in STATS))
@@ -287,9 +288,11 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             m = model.value
-            p = m.class_probabilities(m.standard(batch[list(STATS)].to_numpy(float))) if len(batch) else np.empty((0, len(CLASSES)))
-            yield batch.assign(kind=[CLASSES[i] for i in p.argmax(1)] if len(batch) else [], prose_probability=p[:, 0])
+            p = m.class_probabilities(m.standard(batch[list(STATS)].to_numpy(float)))
+            yield batch.assign(kind=[CLASSES[i] for i in p.argmax(1)], prose_probability=p[:, 0])
 
     return stats.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", kind string, prose_probability double")
 

@@ -95,7 +95,8 @@ def signatures(df: DataFrame, key: str, text: str, width: int = 3, min_tokens: i
                 ns.append(len(hs))
                 classes.append(xxhash.xxh3_128_digest(blob))
                 blobs.append(blob)
-            yield pd.DataFrame({key: keys, "n": ns, "cls": classes, "blob": blobs})
+            if keys:  # an empty frame has no types to send
+                yield pd.DataFrame({key: keys, "n": ns, "cls": classes, "blob": blobs})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, n int, cls binary, blob binary")

@@ -162,7 +162,8 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
                     at = over
                     last = line + text.count("\n", over, end) - (1 if text[end - 1] == "\n" else 0)
                     rows.append((cid, no, len(pieces), kind, line, last, start - over, text[over:end]))
-            yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "n_pieces", "chunk_type", "line_start", "line_end", "overlap_chars", "content"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "n_pieces", "chunk_type", "line_start", "line_end", "overlap_chars", "content"])
 
     big = chunks.where(F.length("content") > limit).select("chunk_id", "chunk_type", "language", "file_path", "line_start", "content").dropDuplicates(["chunk_id"])
     return big.mapInPandas(run, "chunk_id string, piece_no int, n_pieces int, chunk_type string, line_start int, line_end int, overlap_chars int, content string")
