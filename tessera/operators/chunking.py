@@ -51,7 +51,8 @@ def block_chunks(files: DataFrame, limit: int = MAX_CHUNK_SIZE) -> DataFrame:
                 ls = body.splitlines()
                 for a, b in pack_lines(ls, limit):
                     rows.append((path, "block", f"block_{a}_{b}", a, b, lang, "\n".join(ls[a - 1 : b]), "{}"))
-            yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
+            if rows:
+                yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
 
     big = files.where(F.length("content") > limit).select("path", paths.language(F.col("path")).alias("language"), "content")
     return file_chunks(files.where(F.length("content") <= limit)).unionByName(big.mapInPandas(run, CHUNK_SCHEMA))
@@ -124,7 +125,8 @@ def python_chunks(files: DataFrame) -> DataFrame:
                 if not spans:
                     base = path.rsplit("/", 1)[-1]
                     rows.append((path, "file", base.rsplit(".", 1)[0] or base, 1, len(ls), "python", body, json.dumps({"type": "file", "file_name": base, "line_count": len(ls)})))
-            yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
+            if rows:
+                yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
 
     return files.where("content is not null").select("path", "content").mapInPandas(run, CHUNK_SCHEMA)
 

@@ -147,7 +147,8 @@ def symbols(files: DataFrame) -> DataFrame:
                 elif lang in DOCUMENT_LANGUAGES:
                     base = path.rsplit("/", 1)[-1]
                     rows.append((f"{path}::{base}", path, "file", base, 1, None, None, []))
-            yield pd.DataFrame(rows, columns=SYMBOL_COLUMNS)
+            if rows:
+                yield pd.DataFrame(rows, columns=SYMBOL_COLUMNS)
 
     return files.where("content is not null").select("path", paths.language(F.col("path")).alias("language"), "content").mapInPandas(run, SYMBOL_SCHEMA)
 

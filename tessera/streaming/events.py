@@ -41,6 +41,8 @@ def rate_limit(events: DataFrame, key: str, at: str, tie: str, seconds: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict = {}  # the partition is sorted by key: one entry is enough
         for batch in batches:
+            if not len(batch):
+                continue
             ok = []
             for k, t in zip(batch["_key"], batch["_us"]):
                 before = last.get(k)
