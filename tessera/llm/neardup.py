@@ -56,18 +56,19 @@ def frequency_table(classes: DataFrame) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def prefix_level(freqs: np.ndarray, base: int, levels: int = LEVELS) -> int:
-    """The l in 1..levels with the least estimated cost: scanned postings plus candidates to verify.
+def prefix_level(others: np.ndarray, base: int, levels: int = LEVELS) -> int:
+    """The l in 1..levels with the least estimated cost: emitted and scanned postings plus candidates to verify.
 
-    ``freqs`` are the estimated frequencies in prefix order; of the postings met in an l-prefix at most 1/l can reach l hits.
+    ``others`` are the estimated numbers of other holders in prefix order; of the postings met in an l-prefix only a part that
+    shrinks with l reaches l hits.
     """
     best, cost = 1, math.inf
-    hits = float(np.maximum(freqs[:base] - 1, 0).sum())
+    hits = float(others[:base].sum())
     for level in range(1, levels + 1):
-        if base + level - 1 > len(freqs):
+        if base + level - 1 > len(others):
             break
         if level > 1:
-            hits += max(float(freqs[base + level - 2]) - 1, 0.0)
+            hits += float(others[base + level - 2])
         now = base + level - 1 + hits + VERIFY_COST * hits / (level * level)
         if now < cost:
             best, cost = level, now
@@ -88,8 +89,9 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
                 est = table[(hs % COUNTERS).astype(np.int64)]
                 order = np.lexsort((hs, est))
                 base = n - math.ceil(threshold * n - 1e-9) + 1
-                # other elements share a counter: only what stands out of that noise tells a frequent element
-                level = prefix_level(np.maximum(est[order].astype(np.float64) - noise, 1.0), base)
+                # a counter also holds other elements: their mean load is taken off; below it one other holder is assumed,
+                # as a small frequency can't be told from none
+                level = prefix_level(np.maximum(est[order].astype(np.float64) - load, 1.0), base)
                 cls.append(c)
                 ns.append(n)
                 levels.append(level)
@@ -98,7 +100,6 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
                 yield pd.DataFrame({"cls": cls, "n": ns, "level": levels, "tokens": tokens})
 
     load = float(freq.value.mean())
-    noise = load + 3 * math.sqrt(load)
     p = classes.select("cls", "n", "blob").mapInPandas(postings, "cls binary, n int, level int, tokens array<int>")
     p = p.select("cls", "n", "level", F.explode("tokens").alias("token"))
     x = p.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("level").alias("la"))
