@@ -3,9 +3,12 @@
 Every chunk is read as tokens with names, numbers and strings masked. Runs of five masked tokens are min-hashed, banded, and
 the members of a band bucket are tied to the bucket's first class where their exact Jaccard similarity reaches 0.8; the
 connected classes are the clusters. Signs in a chunk (a generator's or upstream's header, a path no person writes to,
-minified lines, lists numbered by a tool, literals and nothing else) seed its file. In a cluster, seeds of a generator spread
-to chunks of the same numbered shape, and seeds of an upstream spread across projects to files of the same name and text.
-A text that stands unchanged under one path in many projects is vendored without any sign. One seeded chunk marks the file.
+minified lines, lists numbered by a tool, literals and nothing else) seed its file. Clusters spread seeds. Across projects, a
+member of the same file name as an upstream's copy is vendored, edited or not. Within a project, the members of a cluster are a
+family: if most of its files are a generator's, the rest are too. Both need a masked set rich enough to tell one code from
+another, or equal text. Masking hides line breaks, so a hand-written original is in one cluster with its minified build; that
+mark and that of literals alone show in the text itself and stay where they are. A text that stands unchanged under one path
+in many projects is vendored without any sign. One seeded chunk marks the file.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tessera.session import norm_key, stage, union_all
 
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 7
 MANY_PROJECTS = 6
+#: Distinct masked shingles from which on a cluster spreads marks between unequal texts; a plain list or a short comment has fewer.
+SHAPE = 20
 GENERATED, MINIFIED, VENDORED, BLOB, NUMBERED = 1, 2, 4, 8, 16
 
 _TOKENS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
@@ -202,19 +207,23 @@ def origins(chunks: DataFrame) -> DataFrame:
     # the path below the repository folder, and the plain file name
     rel = F.regexp_replace("path", "^[^/]*/", "")
     name = F.element_at(F.split("path", "/"), -1)
-    c = feats.select("project", "path", "bits", "raw", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    c = feats.select("project", "path", "bits", "raw", "cls", "n").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     c = stage(c.withColumn("root", F.coalesce("root", "cls")).withColumn("rel", rel).withColumn("name", name), "chunks")
     seed = c.groupBy("project", "path").agg(F.bit_or("bits").alias("file_bits"))
-    # numbered lists: one repeated shape, counted through; with a generator's cluster or many such lines a tool wrote them
+    # numbered lists: one repeated shape, counted through; many such lines a tool wrote
     own = seed.withColumn("file_bits", F.when(F.col("file_bits").bitwiseAND(NUMBERED) > 0, F.col("file_bits").bitwiseOR(GENERATED)).otherwise(F.col("file_bits")))
     marked = c.join(own, ["project", "path"])
     up = marked.where(F.col("file_bits").bitwiseAND(VENDORED) > 0)
     copied = up.where("root is not null").groupBy("root", "name", "raw").agg(F.min("project").alias("p1"), F.max("project").alias("p2"))
     spread_v = c.join(copied, ["root", "name", "raw"]).where("project <> p1 or project <> p2").select("project", "path", F.lit(VENDORED).alias("file_bits"))
-    tool = marked.where(F.col("file_bits").bitwiseAND(GENERATED) > 0).where(F.col("bits").bitwiseAND(NUMBERED) > 0).select("root").distinct()
-    spread_g = c.where(F.col("bits").bitwiseAND(NUMBERED) > 0).join(tool, "root", "left_semi").select("project", "path", F.lit(GENERATED).alias("file_bits"))
+    rich = marked.where((F.col("n") >= SHAPE) & F.col("root").isNotNull())
+    named = rich.where(F.col("file_bits").bitwiseAND(VENDORED) > 0).groupBy("root", "name").agg(F.min("project").alias("p1"), F.max("project").alias("p2"))
+    spread_n = rich.join(named, ["root", "name"]).where("project <> p1 or project <> p2").select("project", "path", F.lit(VENDORED).alias("file_bits"))
+    family = rich.select("root", "project", "path", (F.col("file_bits").bitwiseAND(GENERATED) > 0).alias("made")).distinct()
+    most = family.groupBy("root", "project").agg(F.count_if("made").alias("g"), F.count("*").alias("k")).where("g >= 2 and 2 * g > k and g < k").select("root", "project")
+    spread_g = family.join(most, ["root", "project"], "left_semi").select("project", "path", F.lit(GENERATED).alias("file_bits"))
     wide = c.where("root is not null").groupBy("root", "rel", "raw").agg(F.countDistinct("project").alias("k")).where(F.col("k") >= MANY_PROJECTS).select("root", "rel", "raw")
     spread_w = c.join(wide, ["root", "rel", "raw"], "left_semi").select("project", "path", F.lit(VENDORED).alias("file_bits"))
-    all_bits = union_all([own, spread_v, spread_g, spread_w]).groupBy("project", "path").agg(F.bit_or("file_bits").alias("bits"))
+    all_bits = union_all([own, spread_v, spread_n, spread_g, spread_w]).groupBy("project", "path").agg(F.bit_or("file_bits").alias("bits"))
     kinds = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(b) > 0, F.lit(k)) for k, b in (("blob", BLOB), ("generated", GENERATED), ("minified", MINIFIED), ("vendored", VENDORED))]))
     return all_bits.select(F.col("project").alias("project_id"), F.col("path").alias("file_path"), kinds.alias("kinds")).where("size(kinds) > 0")

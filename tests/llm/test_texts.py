@@ -97,6 +97,17 @@ def test_origins(spark):
     assert origin.origins(df.limit(0)).count() == 0
 
 
+def test_clusters_decide(spark):
+    """An edited copy of a vendored file is found by its cluster, and a family of generated files takes in the one without header."""
+    base = "\n".join(f"def pick{k}(a, b):\n    if a > {k}:\n        return [x.{'abc'[k % 3]} for x in b if x {'<>'[k % 2]} a]\n    return sorted({'b' if k % 2 else '(a, b)'})[{k}:]" for k in range(6))
+    made = "\n".join(f"type T{k} struct {{ a int; b string; c []{'int' if k % 2 else 'string'} }}\nfunc (t *T{k}) Len() int {{ if t.a != {k} && len(t.b) > 1 {{ return len(t.c) + {k} }}; return t.a }}\nvar _ = map[string]T{k}{{\"x\": {{{k}, \"y\", nil}}}}" for k in range(8))
+    rows = [("p1", "r/x/lib.py", "# Upstream: lib 0.19.5, imported unchanged, see NOTICE\n" + base), ("p2", "s/y/lib.py", base.replace("pick2", "choose") + "\nextra = 1"), ("p2", "s/y/own.py", base.replace("pick2", "chosen")), ("p1", "r/z/lib.py", base.replace("pick2", "take"))]
+    rows += [("p3", f"t/g{k}.go", ("// Code generated by toolgen v2. DO NOT EDIT.\n" if k < 3 else "") + made.replace("Len", f"Len{k}")) for k in range(4)] + [("p4", "u/g.go", made), ("p4", "u/h.go", made.replace("Len", "Size"))]  # p4: no sign in the family
+    df = spark.createDataFrame(rows, "project_id string, file_path string, content string")
+    got = {(r.project_id, r.file_path): list(r.kinds) for r in origin.origins(df).collect()}
+    assert got == {("p1", "r/x/lib.py"): ["vendored"], ("p2", "s/y/lib.py"): ["vendored"], **{("p3", f"t/g{k}.go"): ["generated"] for k in range(4)}}
+
+
 ITEM = "The quick planner moves every green ledger into the harbor before the slow gauge counts one narrow bridge and two wide rivers near the old mill"
 
 
