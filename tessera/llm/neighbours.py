@@ -4,7 +4,9 @@ Unit vectors, Euclidean distance d = sqrt(2 - 2 cos). A top tree of vantage poin
 into shards; every vector is indexed in exactly one shard. A query with search radius r visits the near side of a node, and
 the far side only while |d(q, vp) - mu| <= r / relax. With relax = 1 this is the triangle inequality and the search is exact;
 a larger factor prunes more, as in many dimensions a difference of distances to one point is far smaller than the distance.
-Within a shard the same rule runs down a local tree to leaves that are scanned by matrix products.
+Within a shard the same rule runs down a local tree to leaves that are scanned by matrix products. A search without a least
+similarity has no radius at first: a query's own leaf, then its own shard, give it the distance of its k-th best so far, and
+that radius shrinks from leaf to leaf.
 
 Equal vectors collapse into one class with its first k + 1 ids before anything is routed, so copies can't fill a shard.
 """
@@ -80,8 +82,9 @@ class TopTree:
         self._fit(2 * at + 1, rows[d <= mu], rng)
         self._fit(2 * at + 2, rows[d > mu], rng)
 
-    def route(self, x: np.ndarray, slack: float) -> list[tuple[int, np.ndarray]]:
+    def route(self, x: np.ndarray, slack: float | np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(shard, row numbers) of the shards that rows of ``x`` visit; slack 0 gives each row its own shard alone."""
+        slack = np.broadcast_to(slack, len(x))
         out, todo = [], [(0, np.arange(len(x)))]
         while todo:
             at, rows = todo.pop()
@@ -91,8 +94,8 @@ class TopTree:
                 out.append((at - len(self.points), rows))
                 continue
             gap = distance(x[rows], self.points[at]) - self.mus[at]
-            todo.append((2 * at + 1, rows[gap <= slack]))
-            todo.append((2 * at + 2, rows[gap > -slack]))
+            todo.append((2 * at + 1, rows[gap <= slack[rows]]))
+            todo.append((2 * at + 2, rows[gap > -slack[rows]]))
         return out
 
 
@@ -163,10 +166,69 @@ def search_shard(points: np.ndarray, queries: np.ndarray, same: np.ndarray, k: i
     return qi[keep], pj[keep], s[keep]
 
 
-def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float = 0.9, relax: float = 7.0, queries: DataFrame | None = None, shard_rows: int = SHARD) -> DataFrame:
+def search_open(points: np.ndarray, queries: np.ndarray, same: np.ndarray, k: int, relax: float, floor: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, point row, sim) of the k most similar points of each query, however unlike, itself left out.
+
+    ``floor[i]`` is a similarity that k other points are known to reach, or -1. Only a point below it may be left out.
+    """
+    wide = k + 3  # spare ones, as the order by float32 products is not exact
+    floor = floor.astype(np.float64)
+    for first in (True, False):  # the own leaf alone, for a radius to begin with; then the walk
+        rng = np.random.default_rng(seed)
+        best = np.full((len(queries), wide), -2.0, np.float32)
+        at = np.full((len(queries), wide), -1, np.int64)
+        todo = [(np.arange(len(points)), np.arange(len(queries)), np.zeros(len(queries)))]
+        while todo:
+            p, q, beyond = todo.pop()
+            if not first:
+                q = q[beyond <= radius(floor[q]) / relax]  # the radius may have shrunk since
+            if not len(p) or not len(q):
+                continue
+            if len(p) > LEAF:
+                vp, d = best_vantage(points[p], rng)
+                mu = float(np.median(d))
+                near = d <= mu
+                if near.all():  # more than half at one distance: no cut
+                    near = d < mu
+                if near.any() and not near.all():
+                    gap = distance(queries[q], vp) - mu
+                    slack = 0.0 if first else radius(floor[q]) / relax
+                    inner, outer = gap <= slack, gap > -slack
+                    todo.append((p[near], q[inner], np.maximum(gap[inner], 0.0)))
+                    todo.append((p[~near], q[outer], np.maximum(-gap[outer], 0.0)))
+                    continue
+            for lo in range(0, len(q), 1024):
+                qs = q[lo : lo + 1024]
+                for plo in range(0, len(p), 4096):
+                    ps = p[plo : plo + 4096]
+                    sims = queries[qs] @ points[ps].T
+                    sims[ps[None, :] == same[qs][:, None]] = -2.0
+                    s = np.concatenate([best[qs], sims], axis=1)
+                    w = np.concatenate([at[qs], np.broadcast_to(ps, sims.shape)], axis=1)
+                    take = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
+                    best[qs], at[qs] = np.take_along_axis(s, take, 1), np.take_along_axis(w, take, 1)
+                    floor[qs] = np.maximum(floor[qs], np.sort(best[qs], axis=1)[:, -k] - 1e-4)
+    best[at < 0] = -2.0
+    qi, j = np.nonzero(best >= -1.5)
+    pj = at[qi, j]
+    s = np.einsum("ij,ij->i", queries[qi].astype(np.float64), points[pj].astype(np.float64))
+    order = np.lexsort((pj, -s, qi))
+    qi, pj, s = qi[order], pj[order], s[order]
+    begin = np.r_[0, np.flatnonzero(np.diff(qi)) + 1] if len(qi) else np.empty(0, np.int64)
+    keep = np.arange(len(qi)) - np.repeat(begin, np.diff(np.r_[begin, len(qi)])) < k
+    return qi[keep], pj[keep], s[keep]
+
+
+def radius(sim: np.ndarray) -> np.ndarray:
+    """Euclidean distance of unit vectors of similarity ``sim``."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * np.maximum(sim, -1.0), 0.0))
+
+
+def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float | None = 0.9, relax: float = 7.0, queries: DataFrame | None = None, shard_rows: int = SHARD) -> DataFrame:
     """(key, other, sim): the up to k most similar other records with sim >= least, ties by id.
 
-    ``vectors`` come from :func:`usable`. ``least`` sets the search radius sqrt(2 - 2 least). ``queries`` (a subset of the
+    ``vectors`` come from :func:`usable`. ``least`` sets the search radius sqrt(2 - 2 least); None asks for the
+    k most similar however unlike they are. ``queries`` (a subset of the
     rows, given by key) restricts who asks, not who is found. An empty table gives no row.
     """
     spark = vectors.sparkSession
@@ -181,20 +243,21 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float = 0.9, rel
     picked = classes.select("vec").where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * SAMPLE).toPandas()
     shards = max(1, min(-(-total // shard_rows), SAMPLE // 64))
     top = spark.sparkContext.broadcast(TopTree(matrix(picked["vec"]) if len(picked) else np.empty((0, DIM), np.float32), shards))
-    slack = float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) / relax
+    slack = 0.0 if least is None else float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) / relax
 
-    def route(width: float, mark: int):
+    def route(width: float, mark: int, by_floor: bool = False):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if not len(batch):
                     continue
                 x = matrix(batch["vec"])
-                for shard, rows in top.value.route(x, width):
-                    yield pd.DataFrame({"shard": shard, "cls": batch["cls"].to_numpy()[rows], "vec": batch["vec"].to_numpy()[rows], "asks": mark})
+                for shard, rows in top.value.route(x, radius(batch["floor"].to_numpy()) / relax if by_floor else width):
+                    out = pd.DataFrame({"shard": shard, "cls": batch["cls"].to_numpy()[rows], "vec": batch["vec"].to_numpy()[rows], "asks": mark})
+                    yield out.assign(floor=batch["floor"].to_numpy()[rows] if by_floor else -1.0) if least is None else out
 
         return run
 
-    schema = "shard int, cls string, vec binary, asks int"
+    schema = "shard int, cls string, vec binary, asks int" + (", floor double" if least is None else "")
     asking = classes.select("cls", "vec", "ids")
     if queries is not None:
         ids = classes.select("cls", F.explode("ids").alias(key)).join(queries.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_semi")
@@ -210,10 +273,18 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float = 0.9, rel
         vec = group["vec"].to_numpy()
         at = {c: i for i, c in enumerate(pid)}
         same = np.array([at.get(c, -1) for c in qid], np.int64)
-        qi, pj, s = search_shard(matrix(vec[~asks]), matrix(vec[asks]), same, k, least, slack)
+        if least is None:
+            qi, pj, s = search_open(matrix(vec[~asks]), matrix(vec[asks]), same, k, relax, group["floor"].to_numpy()[asks])
+        else:
+            qi, pj, s = search_shard(matrix(vec[~asks]), matrix(vec[asks]), same, k, least, slack)
         return pd.DataFrame({"cls": qid[qi], "near": pid[pj], "sim": s})
 
-    met = stored.union(visits).groupBy("shard").applyInPandas(search, "cls string, near string, sim double")
+    found = "cls string, near string, sim double"
+    if least is None and top.value.depth:  # the own shard first; a shard with fewer than k others leaves the radius open
+        kth = stored.union(visits).groupBy("shard").applyInPandas(search, found).groupBy("cls").agg(F.when(F.count("*") >= k, F.min("sim")).alias("floor"))
+        known = stage(asking.select("cls", "vec").join(kth, "cls", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)) - 1e-4), "radius")
+        visits = known.mapInPandas(route(0.0, 1, True), schema)
+    met = stored.union(visits).groupBy("shard").applyInPandas(search, found)
     return expand(classes, met, vectors, key, k, queries)
 
 

@@ -99,6 +99,27 @@ def test_neighbours(spark):
     assert r.missed_share <= 0.1
 
 
+def test_neighbours_however_unlike(spark):
+    """All k nearest come out below any similarity, in one shard and in many, smaller than a leaf and larger."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 64)).astype(np.float32)
+    x[:300] = x[0] + rng.standard_normal((300, 64)).astype(np.float32) * 0.3
+    ids = [f"v{i:03}" for i in range(len(x))]
+    v = neighbours.usable(spark.createDataFrame([(k, e.tolist()) for k, e in zip(ids, x)], "id string, embedding array<float>"), "id", "embedding")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(ids[i], ids[j]) for i in range(len(ids)) for j in np.argsort(-s[i])[:5]}
+    assert np.median(np.sort(s, axis=1)[300:, -5]) < 0.4
+    for shard_rows in (10_000, 150):
+        exact = [(r.id, r.other) for r in neighbours.neighbours(v, "id", least=None, relax=1.0, shard_rows=shard_rows).collect()]
+        assert len(exact) == len(set(exact)) and set(exact) == want
+        loose = [r.id for r in neighbours.neighbours(v, "id", least=None, relax=3.0, shard_rows=shard_rows).collect()]
+        assert sorted(loose) == sorted(ids * 5)
+    few = neighbours.neighbours(v.where("id < 'v004'"), "id", least=None, relax=3.0, shard_rows=2)
+    assert few.count() == 12
+
+
 def test_every_twentieth(spark):
     import uuid
 
