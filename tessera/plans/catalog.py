@@ -204,10 +204,15 @@ def lex_approximate(spark, d):
     return lexical.approximate(_docs(spark, d), "ledgers").where(~F.col("line").rlike(r"[^\x00-\x7F]")).select("path", "line_no")
 
 
+@query()
+def lex_approximate_all(spark, d):
+    """Rows only, every line: the statement of lex_approximate knows ASCII words alone. Tests compare it with brute force."""
+    return lexical.approximate(_docs(spark, d), "ledgers").select("path", "line_no")
+
+
 @query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CAST(suffix(text, chr(10)) AS INT) END AS n_lines FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x0b\\x0c\\x1c-\\x1e]|\\r[^\\n]|\\r$|\\x{85}|\\x{2028}|\\x{2029}')")
 def line_stats(spark, d):
-    plain = ~F.col("text").rlike("[\x0b\x0c\x1c-\x1e]|\r[^\n]|\r$|\x85|\u2028|\u2029")
-    return table(spark, d, "documents").where(F.col("text").isNotNull() & plain).select("doc_id", text.line_count(F.col("text")).alias("n_lines"))
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", text.line_count(F.col("text")).alias("n_lines"))
 
 
 # ---- paths ---------------------------------------------------------------------------------------------------------
@@ -383,8 +388,7 @@ def chunk_greedy(spark, d):
     f"(SELECT *, sum(CAST(m AS INT)) OVER (PARTITION BY path ORDER BY line_no) AS section, max(CAST(m AS INT)) OVER (PARTITION BY path) = 1 AS h FROM (SELECT *, regexp_matches(line, '^(#{{1,6}})\\s+(.+)$') AS m FROM {DOC_LINES}) WHERE path NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE regexp_matches(text, '[\\x0b\\x0c\\x1c-\\x1e]|\\r[^\\n]|\\r$|\\x{{85}}|\\x{{2028}}|\\x{{2029}}'))) GROUP BY path, section"
 )
 def chunk_sections(spark, d):
-    plain = ~F.col("content").rlike("[\x0b\x0c\x1c-\x1e]|\r[^\n]|\r$|\x85|\u2028|\u2029")
-    s = chunking.sections(_docs(spark, d).where(plain & (F.col("content") != "")))
+    s = chunking.sections(_docs(spark, d).where(F.col("content") != ""))
     w = Window.partitionBy("file_path").orderBy("line_start")
     first = F.min(F.when(F.col("chunk_name").isin("Introduction", "Content") & F.col("symbols").contains('"level":0'), 0).otherwise(1)).over(Window.partitionBy("file_path"))
     return s.select("file_path", (F.row_number().over(w) - 1 + first).cast("bigint").alias("section"), "line_start", "line_end", F.col("chunk_name").alias("title"))
@@ -397,6 +401,13 @@ def chunk_overlap(spark, d):
     return chunking.with_overlap(tail, c).select(F.col("file_path").alias("chunk_id"), F.col("context_before").alias("head"))
 
 
+@query()
+def chunk_overlap_all(spark, d):
+    """Rows only, every text and every packed span of it, whatever its line ends and length. Tests compare it with brute force."""
+    files = table(spark, d, "code_chunks").select(F.col("chunk_id").alias("path"), "content").dropDuplicates(["path"])
+    return chunking.with_overlap(chunking.block_chunks(files), files).select("file_path", "line_start", "line_end", "context_before", "context_after")
+
+
 @query()
 def python_chunks(spark, d):
     """Rows only: definitions found by Python's own parser."""
