@@ -70,11 +70,12 @@ def probe(batch: DataFrame, history: DataFrame, depth: int) -> DataFrame:
 
 
 class SignatureForest:
-    """A forest persisted under ``path``: runs of sorted entries, and the shingle sets of the accepted texts.
+    """A forest persisted under ``path``: runs of sorted entries, the shingle sets and the content hashes of the accepted texts.
 
-    ``accept(batch)`` takes (chunk_id, scope, content) rows and returns (chunk_id, accepted, match): a text is turned away if
-    an accepted text of an earlier batch of its scope is alike; ``match`` names that text's class. Null and short texts are
-    accepted and leave no entry. Only the batch is scanned whole: the history is read by key range and, for the candidates, by
+    ``accept(batch)`` takes (chunk_id, scope, content) rows, with or without content_hash, and returns (chunk_id, accepted,
+    match): a text is turned away if an accepted text of an earlier batch of its scope is alike or has the same hash, ignoring
+    case. ``match`` names the alike text's class and is null where the hash alone decides. Null and short
+    texts leave no entry in the trees; a hash that is null or not given matches nothing. Only the batch is scanned whole: the history is read by key range and, for the candidates, by
     class. Texts of one batch are not compared with each other.
     """
 
@@ -88,6 +89,10 @@ class SignatureForest:
             return []
         return sorted(s.getPath().toString() for s in fs.listStatus(root) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def _write_run(self, df: DataFrame) -> str:
         name = f"{self.path}/runs/{len(self._runs()):06d}-{uuid.uuid4().hex[:8]}"
         df.repartition("scope", "tree").sortWithinPartitions("scope", "tree", "key").write.parquet(name)
@@ -119,10 +124,18 @@ class SignatureForest:
             out = out.withColumn("match", F.lit(None).cast("binary"))
         else:
             out = out.join(found.withColumnRenamed("a", "cls"), ["scope", "cls"], "left")
-        out = stage(out.select("chunk_id", "scope", "cls", F.col("match").isNull().alias("accepted"), "match"), "decided")
+        given = F.lower("content_hash") if "content_hash" in batch.columns else F.lit(None).cast("string")
+        hashes = batch.select("chunk_id", "scope", given.alias("hash")).where("hash is not null").distinct()
+        if self._exists("hashes"):
+            seen = hashes.join(self.spark.read.parquet(f"{self.path}/hashes"), ["scope", "hash"], "left_semi").select("chunk_id", "scope", F.lit(True).alias("seen")).distinct()
+            out = out.join(seen, ["chunk_id", "scope"], "left")
+        else:
+            out = out.withColumn("seen", F.lit(None).cast("boolean"))
+        out = stage(out.select("chunk_id", "scope", "cls", (F.col("match").isNull() & F.col("seen").isNull()).alias("accepted"), "match"), "decided")
         kept = out.where("accepted and cls is not null").select("scope", "cls").distinct()
         self._write_run(mine.join(kept, ["scope", "cls"], "left_semi"))
         classes.join(kept.select("cls").distinct(), "cls", "left_semi").write.mode("append").parquet(f"{self.path}/texts")
+        hashes.join(out.where("accepted").select("chunk_id", "scope").distinct(), ["chunk_id", "scope"], "left_semi").select("scope", "hash").distinct().write.mode("append").parquet(f"{self.path}/hashes")
         if len(self._runs()) > self.max_runs:
             self.merge()
         return out.select("chunk_id", "accepted", "match")

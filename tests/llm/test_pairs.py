@@ -166,3 +166,13 @@ def test_forest(spark, texts, tmp_path):
     assert f.accept(frame(["id00-0"], "other")).collect()[0].accepted
     third = {r.chunk_id: r.accepted for r in f.accept(frame(["id02-0", "id01-0"])).collect()}
     assert third == {"id02-0": False, "id01-0": False} and len(f._runs()) <= 2
+
+
+def test_forest_hashes(spark, tmp_path):
+    """A text too short for the trees is turned away by its content hash, in its scope and ignoring case; a null hash is no match."""
+    f = history.SignatureForest(spark, str(tmp_path / "forest"))
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id string, scope string, content string, content_hash string")
+    took = lambda rows: {r.chunk_id: r.accepted for r in f.accept(frame(rows)).collect()}
+    assert took([("a", "p", "x y", "H1"), ("b", "p", "q", None)]) == {"a": True, "b": True}
+    assert took([("c", "p", "other", "h1"), ("d", "q", "x y", "h1"), ("e", "p", "q", None), ("f", "p", "z", "h2")]) == {"c": False, "d": True, "e": True, "f": True}
+    assert took([("g", "p", "zz", "H2"), ("h", "q", "x y", "H1")]) == {"g": False, "h": False}
