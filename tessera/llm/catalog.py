@@ -27,7 +27,7 @@ def p2_redacted(spark, d):
 VECTOR_TABLES = (("code_chunks", "chunk_id"), ("adrs", "id"))
 
 
-def _near(spark, d, name, key, least=0.9, relax=7.0, asked=False):
+def _near(spark, d, name, key, least=0.9, relax=4.0, asked=False):
     v = stage(neighbours.usable(table(spark, d, name), key, "embedding"), "vectors")
     return v, neighbours.neighbours(v, key, 5, least, relax, neighbours.every_twentieth(v, key) if asked else None)
 
@@ -53,7 +53,7 @@ def p4_recall(spark, d):
     """Missed share against brute force over the stated query set, for links of at least 0.90 and for all 5 nearest."""
     parts = []
     for name, key in VECTOR_TABLES:
-        for least, relax, counted in ((0.9, 7.0, 0.9), (None, 3.0, -1.0)):
+        for least, relax, counted in ((0.9, 4.0, 0.9), (None, 3.0, -1.0)):
             v, near = _near(spark, d, name, key, least, relax, asked=True)
             exact = stage(neighbours.exact_neighbours(v, key, neighbours.every_twentieth(v, key)), "exact")
             parts.append(neighbours.recall(near, exact, key, counted).withColumn("table_name", F.lit(name)).withColumn("least_sim", F.lit(counted)))

@@ -224,7 +224,7 @@ def radius(sim: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * np.maximum(sim, -1.0), 0.0))
 
 
-def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float | None = 0.9, relax: float = 7.0, queries: DataFrame | None = None, shard_rows: int = SHARD) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float | None = 0.9, relax: float = 4.0, queries: DataFrame | None = None, shard_rows: int = SHARD) -> DataFrame:
     """(key, other, sim): the up to k most similar other records with sim >= least, ties by id.
 
     ``vectors`` come from :func:`usable`. ``least`` sets the search radius sqrt(2 - 2 least); None asks for the
