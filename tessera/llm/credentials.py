@@ -29,7 +29,7 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # A line is read only if its lower-cased text holds one of these; plain substring search keeps the rest of the corpus cheap.
 _CUES = (
     "pass", "pwd", "pw", "secret", "token", "key", "kennwort", "credential", "auth", "login", "log in", "logon", "signin", "sign_in", "sign-in",
-    "connect(", "pin_", "pincode", "pin.", "pin-", "identified by", "bearer ", "basic ", "-----begin", "senha", "contrase", "motdepasse", "wachtwoord",
+    "connect(", "pin", "identified by", "bearer", "basic", "--user", "-----begin", "senha", "contrase", "motdepasse", "wachtwoord",
     " -u ", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "aiza", "cix_", "xox", "eyj", "glpat-", " / ",
 )
 _TOK = re.compile(

@@ -162,3 +162,9 @@ def test_quality(spark):
 def test_registry(spark):
     names = set(catalog.queries())
     assert {f"p{n}_found" for n in (1, 2, 4, 5, 6, 7, 8, 10)} <= names and {"p9_mix", "p9_report"} <= names
+
+
+def test_cues_let_rules_see_their_lines(spark):
+    lines = ['door_pin = "4821"', '{"pin": "7391"}', "curl --user deploy:Zk93hQw7Lm https://x.example", 'h = Basic("deploy", "Zk93hQw7Lm")']
+    df = spark.createDataFrame([(f"c{i}", t, "a.py") for i, t in enumerate(lines)] + [("none", 'spinning = "mapping"', "a.py")], "chunk_id string, content string, file_path string")
+    assert {r.chunk_id for r in credentials.credential_rows(df).collect()} == {f"c{i}" for i in range(len(lines))}
