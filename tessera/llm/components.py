@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from tessera.session import stage
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); root is the least node of its component. No edges, no rows."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (a, b); root is the least node of its component. No edges, no rows.
+
+    Runs until nothing changes; the steps halve the distances, so even a chain of all records takes some tens of rounds.
+    """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().where("u <> v")

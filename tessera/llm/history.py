@@ -1,28 +1,38 @@
 """Problem 6: batches against all accepted history, by a forest of sorted signature permutations.
 
-Every text has ``TREES`` min-hash signatures of ``DEPTH`` values, each read as a prefix-tree key. A forest keeps, per tree,
-the keys of all accepted texts in sorted runs (one run per batch, merged when there are many). A batch entry is located by
-its key's range: all history entries below the same prefix. The search starts at the full depth and widens the prefix for
-entries that have found nothing, until the depth is reached at which a text of the wanted similarity is met in some tree
-with probability ``RECALL``. Candidates are verified exactly, so only misses are possible, at most 1 - RECALL of the links.
+Every text has ``TREES`` min-hash signatures of ``DEPTH`` values, each read as a key of a prefix tree. A forest keeps, per scope
+and tree, the keys of all accepted texts in runs sorted by (scope, tree, key); one batch adds one run, and many runs are merged
+into one. A batch entry is located by its key's range: the entries of the batch and of the history below one prefix are
+brought together in key order and merged in one linear pass. The widest range searched is the prefix at which a text of
+the wanted similarity is met in some tree with probability ``RECALL``; candidates of the longest common prefixes are verified
+first, and the range is widened only for texts that have found nothing. Verification is exact, so only misses are possible,
+at most 1 - RECALL of the links.
+
+A batch reads the history of its own scopes only: the runs are sorted by scope, so other row groups are skipped.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shingles import mix, signatures, unpack, verify
-from tessera.session import norm_key, stage, union_all
+from tessera.session import norm_key, shared_dir, stage, union_all
 
-TREES, DEPTH, RECALL, THRESHOLD = 20, 6, 0.999, 0.7
-BEFORE_ALL = -(1 << 62)
+TREES, DEPTH, RECALL, THRESHOLD = 17, 5, 0.999, 0.7
+#: New texts below one prefix of one scope from which on a batch is split by time instead of pairing them all.
+CROWD = 2048
+#: Scopes named in the filter on the history; a batch of more reads all of it.
+SCOPES = 1000
+SLICES = 3
+BEFORE_ALL, AFTER_ALL = -(1 << 62), 1 << 62
+TEXTS = "chunk_id string, scope string, hash string, at bigint, cls binary, c8 bigint, n int, blob binary, slice int"
+ENTRIES = "scope string, tree tinyint, prefix bigint, tail int, c8 bigint"
 
 
 def least_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -33,120 +43,105 @@ def least_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = D
     return 1
 
 
-def forest_keys(classes: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(cls, keys): for each tree one key of ``depth`` big-endian 32-bit min-hash values, so byte order is key order."""
+WIDEST = 3  # least_depth() of the constants above; a key is stored as its first WIDEST values and the rest
+
+
+def entries(texts: DataFrame) -> DataFrame:
+    """(scope, tree, prefix, tail, c8) of each set: ``DEPTH`` min-hash values of 16 bits a tree, in key order."""
     rng = np.random.default_rng(20240601)
-    mul = rng.integers(1, 1 << 62, trees * depth, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(1, 1 << 62, trees * depth, dtype=np.uint64)
+    mul = rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
+    add = rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = []
-            for blob in batch["blob"]:
+            if not len(batch):
+                continue
+            low = np.empty((len(batch), TREES * DEPTH), np.uint64)
+            for i, blob in enumerate(batch["blob"]):
                 hs = mix(unpack(blob))
-                low = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
+                low[i] = np.iinfo(np.uint64).max
                 for at in range(0, len(hs), 2048):
-                    part = hs[at : at + 2048, None] * mul[None, :] + add[None, :]
-                    np.minimum(low, part.min(axis=0), out=low)
-                raw = (low >> np.uint64(32)).astype(">u4").reshape(trees, depth)
-                keys.append([row.tobytes() for row in raw])
-            if keys:
-                yield pd.DataFrame({"cls": batch["cls"], "keys": keys})
-
-    return classes.select("cls", "blob").mapInPandas(run, "cls binary, keys array<binary>")
-
-
-def entries(nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(scope, tree, key, cls) for nodes (scope, cls)."""
-    return nodes.join(keys, "cls").select("scope", "cls", F.posexplode("keys").alias("tree", "key"))
+                    np.minimum(low[i], (hs[at : at + 2048, None] * mul[None, :] + add[None, :]).min(axis=0), out=low[i])
+            v = (mix(low) >> np.uint64(48)).astype(np.int64).reshape(len(batch), TREES, DEPTH)
+            prefix = (v[:, :, 0] << 32) | (v[:, :, 1] << 16) | v[:, :, 2]
+            tail = ((v[:, :, 3] << 16) | v[:, :, 4]) - (1 << 31)
+            yield pd.DataFrame({"scope": batch["scope"], "c8": batch["c8"], "prefix": list(prefix), "tail": list(tail.astype(np.int32))})
 
+    keys = texts.where("blob is not null").select("scope", "c8", "blob").mapInPandas(run, "scope string, c8 bigint, prefix array<bigint>, tail array<int>")
+    pair = F.posexplode(F.arrays_zip("prefix", "tail")).alias("tree", "k")
+    return keys.select("scope", "c8", pair).select("scope", F.col("tree").cast("tinyint").alias("tree"), "k.prefix", "k.tail", "c8")
 
-def probe(batch: DataFrame, history: DataFrame, depth: int) -> DataFrame:
-    """Distinct (a, b): batch class a and history class b of one scope below the same prefix of some tree."""
-    cut = F.xxhash64("scope", "tree", F.substring("key", 1, 4 * depth)).alias("at")
-    x = batch.select(cut, F.col("cls").alias("a"))
-    y = history.select(cut, F.col("cls").alias("b"))
-    return x.join(y, "at").where("a <> b").select("a", "b").distinct()
 
+def meet(rows: list[np.ndarray], crowd: int, apart: bool) -> pd.DataFrame:
+    """(a, b, depth, old) of one stretch of rows (range, old, c8, tail), sorted: each new entry with the entries of its range.
 
-class SignatureForest:
-    """A forest persisted under ``path``: runs of sorted entries, the shingle sets and the content hashes of the accepted texts.
-
-    ``accept(batch)`` takes (chunk_id, scope, content) rows, with or without content_hash, and returns (chunk_id, accepted,
-    match): a text is turned away if an accepted text of an earlier batch of its scope is alike or has the same hash, ignoring
-    case. ``match`` names the alike text's class and is null where the hash alone decides. Null and short
-    texts leave no entry in the trees; a hash that is null or not given matches nothing. Only the batch is scanned whole: the history is read by key range and, for the candidates, by
-    class. Texts of one batch are not compared with each other.
+    New entries meet each other only where the batch has an order (``apart`` false); where more than ``crowd`` new ones share
+    a range, one row (0, 0, -1, 0) says so instead. ``old`` is 1 where b is of the history.
     """
+    at, old, c8, tail = rows
+    fresh = np.r_[True, (at[1:] != at[:-1]) | (old[1:] != old[:-1]) | (c8[1:] != c8[:-1])] if len(at) else np.zeros(0, bool)
+    at, old, c8, tail = at[fresh], old[fresh], c8[fresh], tail[fresh]
+    head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[head, len(at)])
+    new = np.add.reduceat((old == 0).astype(np.int64), head) if len(head) else size
+    full = np.repeat(new > crowd, size)
+    out: list[tuple[np.ndarray, ...]] = []
+    if full.any() and not apart:
+        out.append((np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, -1), np.zeros(1, np.int64)))
+    i = np.flatnonzero((old[:-1] == 0) & (at[1:] == at[:-1])) if len(at) else np.zeros(0, np.int64)
+    if apart or full.any():  # nothing to pair among the new: go to the first old entry of the range at once
+        first_old = np.repeat(head + new, size)
+        jump = i if apart else i[full[i]]
+        i = np.setdiff1d(i, jump)
+        for k, j in zip(jump, first_old[jump]):
+            end = np.searchsorted(at, at[k], "right")
+            if j < end:
+                out.append((np.full(end - j, c8[k]), c8[j:end], depths(tail[k], tail[j:end]), np.ones(end - j, np.int64)))
+    step = 1
+    while len(i):
+        i = i[i + step < len(at)]
+        i = i[at[i] == at[i + step]]
+        differ = c8[i] != c8[i + step]
+        out.append((c8[i][differ], c8[i + step][differ], depths(tail[i][differ], tail[i + step][differ]), old[i + step][differ].astype(np.int64)))
+        step += 1
+    if not out:
+        return pd.DataFrame(columns=["a", "b", "depth", "old"])
+    a, b, d, o = (np.concatenate(c) for c in zip(*out))
+    return pd.DataFrame({"a": a, "b": b, "depth": d, "old": o})
 
-    def __init__(self, spark: SparkSession, path: str, max_runs: int = 8, threshold: float = THRESHOLD):
-        self.spark, self.path, self.max_runs, self.threshold = spark, path.rstrip("/"), max_runs, threshold
 
-    def _runs(self) -> list[str]:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs")
-        if not fs.exists(root):
-            return []
-        return sorted(s.getPath().toString() for s in fs.listStatus(root) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+def depths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of two keys that agree in their first ``WIDEST`` values."""
+    x, y = x.astype(np.int64) + (1 << 31), y.astype(np.int64) + (1 << 31)
+    return WIDEST + (x >> 16 == y >> 16) + (x == y)
 
-    def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def _write_run(self, df: DataFrame) -> str:
-        name = f"{self.path}/runs/{len(self._runs()):06d}-{uuid.uuid4().hex[:8]}"
-        df.repartition("scope", "tree").sortWithinPartitions("scope", "tree", "key").write.parquet(name)
-        return name
+def probe(new: DataFrame, old: DataFrame | None, crowd: int = CROWD, apart: bool = False) -> DataFrame:
+    """(a, b, depth, old): candidates of the new entries among the old and, unless ``apart``, among each other; one shuffle."""
+    cut = F.xxhash64("scope", "tree", "prefix").alias("at")
+    rows = new.select(cut, F.lit(0).cast("tinyint").alias("old"), "c8", "tail")
+    if old is not None:
+        rows = rows.union(old.select(cut, F.lit(1).cast("tinyint").alias("old"), "c8", "tail"))
 
-    def accept(self, batch: DataFrame) -> DataFrame:
-        sig = stage(signatures(batch, "chunk_id", "content"), "batch")
-        classes = stage(sig.select("cls", "n", "blob").dropDuplicates(["cls"]), "batch-classes")
-        nodes = sig.join(batch.select("chunk_id", "scope"), "chunk_id").select("scope", "cls").distinct()
-        mine = stage(entries(nodes, forest_keys(classes)), "batch-entries")
-        runs = self._runs()
-        found = None
-        if runs:
-            history = self.spark.read.parquet(*runs)
-            texts = self.spark.read.parquet(f"{self.path}/texts").dropDuplicates(["cls"])
-            left = mine
-            for depth in range(DEPTH, least_depth(self.threshold) - 1, -1):
-                wanted = texts.join(history.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "blob").union(classes.select("cls", "n", "blob")).dropDuplicates(["cls"])
-                same = left.select("scope", "cls").distinct().join(history.select("scope", F.col("cls").alias("b")).distinct(), "scope").where(F.col("cls") == F.col("b")) if depth == DEPTH else None
-                hit = verify(probe(left, history, depth), wanted, self.threshold).select("a", "b")
-                if same is not None:
-                    hit = hit.union(same.select(F.col("cls").alias("a"), "b"))
-                hit = left.select("scope", F.col("cls").alias("a")).distinct().join(hit, "a").join(history.select("scope", F.col("cls").alias("b")).distinct(), ["scope", "b"])
-                hit = stage(hit.groupBy("scope", "a").agg(F.min("b").alias("match")), "hits")
-                found = hit if found is None else found.union(hit)
-                left = stage(left.join(hit.select("scope", F.col("a").alias("cls")), ["scope", "cls"], "left_anti"), "left")
-        out = batch.select("chunk_id", "scope").distinct().join(sig.select("chunk_id", "cls").distinct(), "chunk_id", "left")
-        if found is None:
-            out = out.withColumn("match", F.lit(None).cast("binary"))
-        else:
-            out = out.join(found.withColumnRenamed("a", "cls"), ["scope", "cls"], "left")
-        given = F.lower("content_hash") if "content_hash" in batch.columns else F.lit(None).cast("string")
-        hashes = batch.select("chunk_id", "scope", given.alias("hash")).where("hash is not null").distinct()
-        if self._exists("hashes"):
-            seen = hashes.join(self.spark.read.parquet(f"{self.path}/hashes"), ["scope", "hash"], "left_semi").select("chunk_id", "scope", F.lit(True).alias("seen")).distinct()
-            out = out.join(seen, ["chunk_id", "scope"], "left")
-        else:
-            out = out.withColumn("seen", F.lit(None).cast("boolean"))
-        out = stage(out.select("chunk_id", "scope", "cls", (F.col("match").isNull() & F.col("seen").isNull()).alias("accepted"), "match"), "decided")
-        kept = out.where("accepted and cls is not null").select("scope", "cls").distinct()
-        self._write_run(mine.join(kept, ["scope", "cls"], "left_semi"))
-        classes.join(kept.select("cls").distinct(), "cls", "left_semi").write.mode("append").parquet(f"{self.path}/texts")
-        hashes.join(out.where("accepted").select("chunk_id", "scope").distinct(), ["chunk_id", "scope"], "left_semi").select("scope", "hash").distinct().write.mode("append").parquet(f"{self.path}/hashes")
-        if len(self._runs()) > self.max_runs:
-            self.merge()
-        return out.select("chunk_id", "accepted", "match")
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [batch[c].to_numpy() for c in ("at", "old", "c8", "tail")]
+            if held is not None:
+                now = [np.concatenate([h, r]) for h, r in zip(held, now)]
+            if len(now[0]):
+                end = int(np.searchsorted(now[0], now[0][-1], "left"))
+                held = [r[end:] for r in now]
+                out = meet([r[:end] for r in now], crowd, apart)
+                if len(out):
+                    yield out
+        if held is not None:
+            out = meet(held, crowd, apart)
+            if len(out):
+                yield out
 
-    def merge(self) -> None:
-        """Merge all runs into one sorted run; the new run is complete before an old one is removed."""
-        old = self._runs()
-        self._write_run(self.spark.read.parquet(*old).distinct())
-        for p in old:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    met = rows.repartition("at").sortWithinPartitions("at", "old", "c8").mapInPandas(merge, "a bigint, b bigint, depth bigint, old bigint")
+    return met.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.max("old").alias("old"))
 
 
 def decide(nodes: DataFrame, group_edges: DataFrame) -> DataFrame:
@@ -158,7 +153,6 @@ def decide(nodes: DataFrame, group_edges: DataFrame) -> DataFrame:
     no pair inside a group is formed; each round decides at least the earliest undecided node of every component.
     """
     state = stage(nodes.withColumn("state", F.lit(0)), "state")
-    done = []
     while True:
         live = state.where("state < 2")
         acc = F.min(F.when(F.col("state") == 1, F.col("first"))).alias("acc")
@@ -175,35 +169,156 @@ def decide(nodes: DataFrame, group_edges: DataFrame) -> DataFrame:
             return state.select("node", "first", "state")
 
 
-def replay(chunks: DataFrame, runs: DataFrame) -> DataFrame:
+def digest(*parts: Column) -> Column:
+    """A 16-byte identity of a tuple of strings."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
+
+
+class SignatureForest:
+    """A forest persisted under ``path``: ``texts`` (sets of the texts seen), ``runs`` (sorted entries) and ``known`` (hashes and
+    classes) of the accepted ones.
+
+    ``accept(batch)`` takes (chunk_id, scope, content) rows, with or without content_hash and at, and returns (chunk_id, scope,
+    at, accepted): a text is turned away if an accepted text of its scope, of an earlier batch or of an earlier ``at`` in the
+    batch, is alike or has the same hash, ignoring case. Texts of one batch and ``at`` are not compared with each other. Null
+    and short texts leave no entry in the trees; a hash that is null or not given matches nothing; a repeated chunk_id counts
+    once, at its earliest. Rows without chunk_id or scope are left out.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, max_runs: int = 4, threshold: float = THRESHOLD, crowd: int = CROWD):
+        self.spark, self.path, self.max_runs, self.threshold, self.crowd = spark, path.rstrip("/"), max_runs, threshold, crowd
+
+    def _list(self, kind: str) -> list[str]:
+        """Finished tables of a kind, in order of their names."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(s.getPath().toString() for s in fs.listStatus(root) if s.isDirectory() and fs.exists(done(s.getPath(), "_SUCCESS")))
+
+    def _read(self, kind: str, schema: str) -> DataFrame | None:
+        found = self._list(kind)
+        return self.spark.read.schema(schema).parquet(*found) if found else None
+
+    def _write(self, df: DataFrame, kind: str) -> None:
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{kind}/{len(self._list(kind)):06d}-{uuid.uuid4().hex[:8]}")
+
+    def _write_run(self, df: DataFrame) -> None:
+        self._write(df.repartitionByRange("scope", "tree", "prefix").sortWithinPartitions("scope", "tree", "prefix", "tail"), "runs")
+
+    def add_texts(self, rows: DataFrame) -> None:
+        """Read (chunk_id, scope, hash, at, slice, content) rows into sets; nothing is accepted yet."""
+        self._write(signatures(rows, "chunk_id", "content", keep=("scope", "hash", "at", "slice"), scope="scope", part="slice").select(*[c.split()[0] for c in TEXTS.split(", ")]), "texts")
+
+    def history(self, scopes: list[str] | None) -> DataFrame | None:
+        """Entries of all runs, of the named scopes only where they are few."""
+        old = self._read("runs", ENTRIES)
+        return old if old is None or scopes is None else old.where(F.col("scope").isin(scopes))
+
+    def accept(self, batch: DataFrame) -> DataFrame:
+        given = F.lower("content_hash") if "content_hash" in batch.columns else F.lit(None).cast("string")
+        at = F.col("at").cast("bigint") if "at" in batch.columns else F.lit(0).cast("bigint")
+        no = len(self._list("texts"))
+        rows = batch.where("chunk_id is not null and scope is not null")
+        self.add_texts(rows.select("chunk_id", "scope", given.alias("hash"), at.alias("at"), F.lit(no).alias("slice"), "content"))
+        return self.accept_texts(no).select("chunk_id", "scope", "at", "accepted")
+
+    def accept_texts(self, slice_no: int) -> DataFrame:
+        """Decide the texts of one slice, in order of ``at``, against the history and each other, and add what is accepted."""
+        texts = self._read("texts", TEXTS).where(F.col("slice") == slice_no)
+        # a repeated row of a chunk counts once, at its earliest
+        rows = texts.groupBy("chunk_id").agg(F.min_by(F.struct("scope", "hash", "at", "cls", "c8"), F.struct("at", "scope", "hash")).alias("r")).select("chunk_id", "r.*")
+        hg = digest(F.lit("hash"), "scope", F.coalesce(F.concat(F.lit("="), F.lower("hash")), F.concat(F.lit("chunk "), F.col("chunk_id"))))
+        rows = stage(rows.withColumn("hg", hg).withColumn("hashed", F.col("hash").isNotNull()), "rows")
+        span = rows.agg(F.min("at"), F.max("at")).collect()[0]
+        if span[0] is None:
+            return rows.select("chunk_id", "scope", "at", F.lit(True).alias("accepted"))
+        return union_all(self._accept(rows, texts, *span, True))
+
+    def _accept(self, rows: DataFrame, texts: DataFrame, low: int, high: int, whole: bool) -> list[DataFrame]:
+        mine = rows if whole else rows.where(F.col("at").between(low, high))
+        known = self._read("known", "id binary")
+        open_ = mine.select("chunk_id", "scope", "at", "hg", "hashed", "cls", "c8")
+        if known is not None:
+            met = known.select("id").distinct()
+            open_ = open_.join(met.withColumnRenamed("id", "hg"), "hg", "left_anti").join(met.withColumnRenamed("id", "cls"), "cls", "left_anti")
+        open_ = stage(open_, "open")
+        sets = texts.select("scope", "cls", "c8", "n", "blob")
+        if not whole:
+            sets = sets.join(open_.select("c8").distinct(), "c8", "left_semi")
+        new = entries(sets)
+        listed = [r.scope for r in open_.select("scope").distinct().limit(SCOPES + 1).collect()]
+        met = stage(probe(new, self.history(listed if len(listed) <= SCOPES else None), self.crowd, low == high), "candidates")
+        if low < high and met.where("depth < 0").limit(1).count():
+            middle = mine.agg(F.percentile_approx("at", 0.5)).collect()[0][0]
+            middle = middle if middle < high else high - 1
+            return self._accept(rows, texts, low, middle, False) + self._accept(rows, texts, middle + 1, high, False)
+        met = met.where("depth > 0")
+        classes = self._read("texts", TEXTS).where("blob is not null").select("cls", "c8", "n", "blob")
+        here = open_.where("cls is not null").select("cls", "c8").distinct()
+        # against the history: the longest common prefixes first, wider ranges for those that found nothing
+        away = None
+        if known is not None:
+            old = met.where("old = 1")
+            for deep in (F.col("depth") > WIDEST, F.col("depth") == WIDEST):
+                todo = old.where(deep) if away is None else old.where(deep).join(away.select("a"), "a", "left_anti")
+                todo = stage(todo.join(here.select(F.col("c8").alias("a")), "a", "left_semi").select("a", "b"), "ranges")
+                hit = verify(todo, classes, self.threshold)
+                ends = hit.select(F.col("a").alias("cls")).union(hit.select(F.col("b").alias("cls")))
+                hit = stage(ends.join(here, "cls").select(F.col("c8").alias("a"), "cls").distinct(), "alike")
+                away = hit if away is None else away.union(hit)
+            open_ = stage(open_.join(away.select("cls"), "cls", "left_anti"), "open")
+            here = open_.where("cls is not null").select("cls", "c8").distinct()
+        # among themselves, in order
+        inner = met.join(here.select(F.col("c8").alias("a")), "a", "left_semi").join(here.select(F.col("c8").alias("b")), "b", "left_semi")
+        inner = stage(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "inner")
+        pairs = verify(inner, classes, self.threshold).select("a", "b")
+        edges = stage(pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).union(pairs.select(F.col("b").alias("ca"), F.col("a").alias("cb"))), "edges")
+        node = digest(F.hex("hg"), F.coalesce(F.hex("cls"), F.lit("")))
+        nodes = open_.groupBy("hg", F.col("cls").alias("cg")).agg(F.min("at").alias("first")).withColumn("node", digest(F.hex("hg"), F.coalesce(F.hex("cg"), F.lit(""))))
+        # alone in both groups and without neighbour: nothing can turn it away
+        crowded_h = nodes.groupBy("hg").agg(F.count("*").alias("k")).where("k > 1").select("hg")
+        crowded_c = union_all([nodes.where("cg is not null").groupBy("cg").agg(F.count("*").alias("k")).where("k > 1").select("cg"), edges.select(F.col("ca").alias("cg"))]).distinct()
+        tied = nodes.join(crowded_h.withColumn("h", F.lit(True)), "hg", "left").join(crowded_c.withColumn("c", F.lit(True)), "cg", "left").where("h or c").select("node", "hg", "cg", "first")
+        decided = decide(tied, edges)
+        left = open_.withColumn("node", node).join(nodes.select("node", "first"), "node").join(decided.select("node", "state"), "node", "left")
+        good = (F.coalesce("state", F.lit(1)) == 1) & (F.col("at") == F.col("first"))
+        kept = stage(left.where(good).select("chunk_id", "hg", "hashed", "cls", "c8"), "kept")
+        out = stage(mine.join(kept.select("chunk_id", F.lit(True).alias("accepted")), "chunk_id", "left").select("chunk_id", "scope", "at", F.coalesce("accepted", F.lit(False)).alias("accepted")), "decided")
+        self._write(kept.where("hashed").select(F.col("hg").alias("id")).union(kept.where("cls is not null").select("cls")).distinct(), "known")
+        self._write_run(new.join(kept.where("cls is not null").select("c8").distinct(), "c8", "left_semi").select("scope", "tree", "prefix", "tail", "c8").distinct())
+        if len(self._list("runs")) > self.max_runs:
+            self.merge()
+        return [out]
+
+    def merge(self) -> None:
+        """Merge all runs into one sorted run; the new run is complete before an old one is removed."""
+        old = self._list("runs")
+        self._write_run(self.spark.read.schema(ENTRIES).parquet(*old).distinct())
+        for p in old:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replay(chunks: DataFrame, runs: DataFrame, slices: int = SLICES, crowd: int = CROWD) -> DataFrame:
     """(chunk_id, project, at, turned_away) of every chunk with a project, deciding run after run by received_at.
 
-    Chunks without commit come before all runs, chunks of an unknown commit after all. A repeated row counts once.
+    Chunks without commit come before all runs, chunks of an unknown commit after all. A repeated row counts once. The runs go
+    through a :class:`SignatureForest` in ``slices`` batches of about equal size, cut between runs; in a batch the runs are
+    decided in order.
     """
+    spark = chunks.sparkSession
     order = runs.groupBy(F.lower("commit_hash").alias("commit")).agg(F.min(F.unix_micros(F.col("received_at").cast("timestamp"))).alias("at"))
-    c = chunks.select("chunk_id", norm_key(F.col("project_id")).alias("scope"), F.lower("commit_hash").alias("commit"), F.lower("content_hash").alias("hash")).where("chunk_id is not null and scope is not null")
-    at = F.when(F.col("commit").isNull(), F.lit(BEFORE_ALL)).otherwise(F.coalesce("at", F.lit(1 << 62)))
-    c = c.join(order, "commit", "left").select("chunk_id", "scope", "hash", at.alias("at"))
-    c = c.groupBy("chunk_id").agg(F.min_by(F.struct("scope", "hash", "at"), "at").alias("r")).select("chunk_id", "r.*")
-    sig = stage(signatures(chunks, "chunk_id", "content"), "signatures")
-    c = stage(c.join(sig.groupBy("chunk_id").agg(F.min("cls").alias("cls")), "chunk_id", "left"), "chunks")
-    # a hash that is missing matches nothing: the text stands for itself
-    c = c.withColumn("hg", F.xxhash64("scope", F.coalesce("hash", F.concat(F.lit("chunk "), F.col("chunk_id")))))
-    c = c.withColumn("cg", F.when(F.col("cls").isNotNull(), F.xxhash64("scope", "cls"))).withColumn("node", F.xxhash64("hg", F.coalesce("cg", F.lit(0))))
-    scoped = c.where("cls is not null").select("scope", "cls").distinct()
-    classes = stage(sig.select("cls", "n", "blob").dropDuplicates(["cls"]), "classes")
-    forest = entries(scoped, forest_keys(classes))
-    half = probe(forest, forest, least_depth()).where("a < b")
-    pairs = verify(half, classes, THRESHOLD).select("a", "b")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(scoped.withColumnRenamed("cls", "a"), "a")
-    edges = stage(near.join(scoped.withColumnRenamed("cls", "b"), ["scope", "b"]).select(F.xxhash64("scope", "a").alias("ca"), F.xxhash64("scope", "b").alias("cb")).distinct(), "edges")
-    nodes = c.groupBy("node", "hg", "cg").agg(F.min("at").alias("first"))
-    # alone in both groups and without neighbour: nothing can turn it away
-    crowded_h = nodes.groupBy("hg").agg(F.count("*").alias("k")).where("k > 1").select("hg")
-    crowded_c = union_all([nodes.where("cg is not null").groupBy("cg").agg(F.count("*").alias("k")).where("k > 1").select("cg"), edges.select(F.col("ca").alias("cg"))]).distinct()
-    tied = nodes.join(crowded_h.withColumn("h", F.lit(True)), "hg", "left").join(crowded_c.withColumn("c", F.lit(True)), "cg", "left").where("h or c").select("node", "hg", "cg", "first")
-    decided = decide(tied, edges)
-    out = c.join(nodes.select("node", "first"), "node").join(decided.select("node", "state"), "node", "left")
-    away = (F.coalesce("state", F.lit(1)) == 2) | (F.col("at") > F.col("first"))
-    return out.select("chunk_id", F.col("scope").alias("project"), "at", away.alias("turned_away"))
+    c = chunks.select("chunk_id", norm_key(F.col("project_id")).alias("scope"), F.lower("commit_hash").alias("commit"), F.lower("content_hash").alias("hash"), "content").where("chunk_id is not null and scope is not null")
+    at = F.when(F.col("commit").isNull(), F.lit(BEFORE_ALL)).otherwise(F.coalesce("at", F.lit(AFTER_ALL)))
+    c = c.join(order, "commit", "left").select("chunk_id", "scope", "hash", at.alias("at"), "content")
+    bounds = c.agg(F.percentile_approx("at", [k / slices for k in range(1, slices)], 10_000)).collect()[0][0] or []
+    bounds = sorted(set(bounds))
+    no = sum(((F.col("at") > b).cast("int") for b in bounds), F.lit(0))
+    forest = SignatureForest(spark, f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}", crowd=crowd)
+    forest.add_texts(c.withColumn("slice", no.cast("int")))
+    done = union_all([forest.accept_texts(k) for k in range(len(bounds) + 1)])
+    # a chunk that shows in several slices counts in its first
+    w = done.groupBy("chunk_id").agg(F.min_by(F.struct("scope", "at", "accepted"), "at").alias("r")).select("chunk_id", "r.*")
+    return w.select("chunk_id", F.col("scope").alias("project"), "at", (~F.col("accepted")).alias("turned_away"))

@@ -5,8 +5,11 @@ n - ceil(t n) + l share at least l elements, for every l >= 1. Each record picks
 frequent elements takes a longer prefix and in return asks for more common elements. A pair must then share
 min(l_a, l_b) elements, which loses no pair. What passes is verified exactly.
 
-Frequencies come from a table of 2^20 counters filled from all records (4 MB whatever the input); any order is correct,
-a better one only saves work. Copies collapse into classes first, so no group of copies meets itself.
+Frequencies come from a table of counters filled from all records; any order is correct, a better one only saves work. The
+table grows with the data up to 2^22 counters (16 MB); a task reports one byte a counter. The postings are shuffled once and
+sorted by token, and the holders of a token are paired where they meet. A token with many holders is split: its holders
+are hashed into blocks, and every pair of blocks is a group of its own, so no task holds more than two blocks of a token.
+Copies collapse into classes first, so no group of copies meets itself.
 """
 
 from __future__ import annotations
@@ -21,39 +24,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from tessera.llm.components import components
-from tessera.llm.shingles import signatures, unpack, verify
+from tessera.llm.shingles import classes_of, mix, signatures, unpack, verify
 from tessera.session import stage
 
-COUNTERS = 1 << 20
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 22
 SLICE = 1 << 14
 LEVELS = 4
 VERIFY_COST = 20.0
+#: Holders of a token in one block; two blocks meet in a group.
+BLOCK = 2048
+
+
+def encode_counts(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, on a scale of eight steps an octave; counts up to 8 are exact."""
+    return np.minimum(np.where(counts <= 8, counts, np.rint(8 * np.log2(np.maximum(counts, 1) / 8.0)) + 8), 255).astype(np.uint8)
+
+
+def decode_counts(codes: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`encode_counts`, within a twentieth."""
+    c = codes.astype(np.float64)
+    return np.where(c <= 8, c, np.rint(8 * 2 ** ((c - 8) / 8)))
 
 
 def frequency_table(classes: DataFrame) -> np.ndarray:
-    """Counts of all shingles of all classes, hashed into a fixed number of counters."""
+    """Counts of all shingles of all classes, hashed into a power of two of counters: one for 16 shingles, within the bounds."""
+    total = classes.agg(F.sum("n")).collect()[0][0] or 0
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, (total // 16)).bit_length()))
+    width = min(SLICE, counters)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTERS, np.int64)
+        seen = np.zeros(counters, np.int64)
         for batch in batches:
             if len(batch):
-                np.add(total, np.bincount((unpack(b"".join(batch["blob"])) % COUNTERS).astype(np.int64), minlength=COUNTERS), out=total)
-        for lo in range(0, COUNTERS, SLICE):
-            yield pd.DataFrame({"lo": [lo], "counts": [total[lo : lo + SLICE].astype("<i8").tobytes()]})
+                seen += np.bincount((unpack(b"".join(batch["blob"])) % counters).astype(np.int64), minlength=counters)
+        codes = encode_counts(seen)
+        for lo in range(0, counters, width):
+            if codes[lo : lo + width].any():
+                yield pd.DataFrame({"lo": [lo], "counts": [codes[lo : lo + width].tobytes()]})
 
     def add(parts: pd.Series) -> bytes:
-        total = np.zeros(SLICE, np.int64)
+        out = np.zeros(width, np.float64)
         for p in parts:
-            total += np.frombuffer(p, "<i8")
-        return total.tobytes()
+            out += decode_counts(np.frombuffer(p, np.uint8))
+        return np.minimum(out, 2**31 - 1).astype("<i4").tobytes()
 
     summed = F.pandas_udf(add, BinaryType())
-    parts = classes.select("blob").mapInPandas(count, "lo int, counts binary")
-    rows = parts.groupBy("lo").agg(summed("counts").alias("counts")).collect()
-    out = np.zeros(COUNTERS, np.int64)
+    rows = classes.select("blob").mapInPandas(count, "lo int, counts binary").groupBy("lo").agg(summed("counts").alias("counts")).collect()
+    out = np.zeros(counters, np.int32)
     for r in rows:
-        out[r.lo : r.lo + SLICE] = np.frombuffer(r.counts, "<i8")
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+        out[r.lo : r.lo + width] = np.frombuffer(r.counts, "<i4")
+    return out
+
+
+def block_of(ids: np.ndarray, blocks: np.ndarray | int) -> np.ndarray:
+    """The block of each holder among the blocks of its token."""
+    return (mix(ids.view(np.uint64)) % np.asarray(blocks, np.uint64)).astype(np.int64)
 
 
 def prefix_level(others: np.ndarray, base: int, levels: int = LEVELS) -> int:
@@ -75,38 +100,101 @@ def prefix_level(others: np.ndarray, base: int, levels: int = LEVELS) -> int:
     return best
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that share enough of their prefixes."""
-    spark = classes.sparkSession
-    freq = spark.sparkContext.broadcast(frequency_table(classes))
+def spread(tokens: np.ndarray, blocks: np.ndarray, cls: int) -> np.ndarray:
+    """Group keys of a record's tokens: the token itself, or for a split one its meetings with every block."""
+    plain = tokens[blocks == 1].astype(np.int64)
+    if len(plain) == len(tokens):
+        return plain
+    keys = [plain]
+    for t, m in zip(tokens[blocks > 1].astype(np.int64), blocks[blocks > 1]):
+        own = int(block_of(np.array([cls], np.int64), int(m))[0])
+        other = np.arange(m)
+        keys.append(t + ((1 + np.minimum(own, other) * m + np.maximum(own, other)) << 32))
+    return np.concatenate(keys)
+
+
+def meetings(key: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray, table: np.ndarray, threshold: float, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, need) for every two holders of one key whose sizes allow the threshold; rows are sorted by key, then n."""
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])] if len(key) else np.zeros(0, bool)
+    key, cls, n, level = key[fresh], cls[fresh], n[fresh], level[fresh]
+    at = np.flatnonzero(key[1:] == key[:-1]) if len(key) else np.zeros(0, np.int64)
+    out_a, out_b, need = [], [], []
+    step = 1
+    while len(at):
+        to = at + step
+        ok = to < len(key)
+        at, to = at[ok], to[ok]
+        ok = (key[at] == key[to]) & (n[at] >= threshold * n[to] - 1e-9)
+        at, to = at[ok], to[ok]
+        x, y = cls[at], cls[to]
+        differ = x != y
+        split = key[at] >> 32 > 0
+        if split.any():  # two blocks meet here: within one block only where it meets itself
+            blocks = blocks_of(table[(key[at] & 0xFFFFFFFF) % len(table)], block)
+            cell = (key[at] >> 32) - 1
+            differ &= ~split | (cell // blocks == cell % blocks) | (block_of(x, blocks) != block_of(y, blocks))
+        out_a.append(np.minimum(x, y)[differ])
+        out_b.append(np.maximum(x, y)[differ])
+        need.append(np.minimum(level[at], level[to])[differ])
+        step += 1
+    if not out_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(need)
+
+
+def blocks_of(counts: np.ndarray, block: int) -> np.ndarray:
+    """Number of blocks of tokens with these counts."""
+    return np.maximum(1, -(-counts.astype(np.int64) // block))
+
+
+def candidates(classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b), a < b, of classes (by c8) that share enough of their prefixes; staged."""
+    freq = classes.sparkSession.sparkContext.broadcast(frequency_table(classes))
+    load = float(freq.value.mean())
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = freq.value
         for batch in batches:
-            cls, ns, levels, tokens = [], [], [], []
-            for c, n, blob in zip(batch["cls"], batch["n"], batch["blob"]):
+            cls, ns, levels, keys = [], [], [], []
+            for c, n, blob in zip(batch["c8"], batch["n"], batch["blob"]):
                 hs = unpack(blob)
-                est = table[(hs % COUNTERS).astype(np.int64)]
+                est = table[(hs % len(table)).astype(np.int64)]
                 order = np.lexsort((hs, est))
                 base = n - math.ceil(threshold * n - 1e-9) + 1
                 # a counter also holds other elements: their mean load is taken off; below it one other holder is assumed,
                 # as a small frequency can't be told from none
                 level = prefix_level(np.maximum(est[order].astype(np.float64) - load, 1.0), base)
+                prefix = order[: base + level - 1]
                 cls.append(c)
                 ns.append(n)
                 levels.append(level)
-                tokens.append((hs[order[: base + level - 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                keys.append(spread(hs[prefix] & np.uint64(0xFFFFFFFF), blocks_of(est[prefix], block), c))
             if cls:
-                yield pd.DataFrame({"cls": cls, "n": ns, "level": levels, "tokens": tokens})
+                yield pd.DataFrame({"c8": cls, "n": ns, "level": levels, "keys": keys})
 
-    load = float(freq.value.mean())
-    p = classes.select("cls", "n", "blob").mapInPandas(postings, "cls binary, n int, level int, tokens array<int>")
-    p = p.select("cls", "n", "level", F.explode("tokens").alias("token"))
-    x = p.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("level").alias("la"))
-    y = p.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("level").alias("lb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9)
-    met = x.join(y, "token").where(near).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first(F.least("la", "lb")).alias("need"))
-    return met.where("hits >= need").select("a", "b")
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = freq.value
+        held: list[np.ndarray] | None = None  # the rows of the last key, which may go on in the next batch
+        for batch in batches:
+            rows = [batch[c].to_numpy() for c in ("key", "c8", "n", "level")]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            held = [r[cut:] for r in rows]
+            a, b, need = meetings(*[r[:cut] for r in rows], table, threshold, block)
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": b, "need": need})
+        if held is not None:
+            a, b, need = meetings(*held, table, threshold, block)
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": b, "need": need})
+
+    p = classes.select("c8", "n", "blob").mapInPandas(postings, "c8 bigint, n int, level tinyint, keys array<bigint>")
+    p = p.select(F.explode("keys").alias("key"), "c8", "n", "level").repartition("key").sortWithinPartitions("key", "n", "c8")
+    met = p.mapInPandas(pair, "a bigint, b bigint, need tinyint").groupBy("a", "b").agg(F.count("*").alias("hits"), F.min("need").alias("need"))
+    return stage(met.where("hits >= need").select("a", "b"), "candidates")
 
 
 def similar_classes(df: DataFrame, key: str, text: str, threshold: float = 0.7, width: int = 3, min_tokens: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -115,10 +203,9 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float = 0.7,
     Null keys and null, empty or short texts take part in nothing. Repeated rows of a key count once per text.
     """
     sig = stage(signatures(df, key, text, width, min_tokens), "signatures")
-    members = sig.select(key, "cls").distinct()
-    classes = stage(sig.select("cls", "n", "blob").dropDuplicates(["cls"]), "classes")
+    classes = classes_of(sig)
     pairs = stage(verify(candidates(classes, threshold), classes, threshold), "pairs")
-    return members, pairs
+    return sig.select(key, "cls").distinct(), pairs
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, width: int = 3, min_tokens: int = 30) -> DataFrame:

@@ -1,8 +1,9 @@
 """Problem 7: generated, minified and vendored files, and data saved as code.
 
-Every chunk is read as tokens with names, numbers and strings masked. Runs of five masked tokens are min-hashed, banded, and
-the members of a band bucket are tied to the bucket's first class where their exact Jaccard similarity reaches 0.8; the
-connected classes are the clusters. Signs in a chunk (a generator's or upstream's header, a path no person writes to,
+Every chunk is read as tokens with names, numbers and strings masked. Runs of five masked tokens are min-hashed and banded. A
+band bucket is sorted by size of set; the first class and each one a tenth larger than the last leader is a leader, and every
+member is compared with the two leaders before it. Pairs whose exact Jaccard similarity reaches 0.8 are tied; the connected
+classes are the clusters. Signs in a chunk (a generator's or upstream's header, a path no person writes to,
 minified lines, lists numbered by a tool, literals and nothing else) seed its file. Clusters spread seeds. Across projects, a
 member of the same file name as an upstream's copy is vendored, edited or not. Within a project, the members of a cluster are a
 family: if most of its files are a generator's, the rest are too. Both need a masked set rich enough to tell one code from
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shingles import mix, pack, shingle_hashes, token_hashes, unpack, verify
+from tessera.llm.shingles import mix, pack, shingle_hashes, verify
 from tessera.session import norm_key, stage, union_all
 
-WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 7
+WIDTH, SIMILAR, BANDS, ROWS, LEAD = 5, 0.8, 16, 7, 0.9
 MANY_PROJECTS = 6
 #: Distinct masked shingles from which on a cluster spreads marks between unequal texts; a plain list or a short comment has fewer.
 SHAPE = 20
@@ -67,19 +68,29 @@ _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{24,}[`\"']?[;,)]*\s*$")
 _WRAPPER = re.compile(r"^\s*(?:public |final |static |export )*(?:class|object|module) \w+ \{[^()]*=\s*[\[{(\"'`]?\s*$", re.M)
 
 
-def masked_tokens(text: str) -> list[str]:
-    """Tokens with names as I, numbers as 0 and strings as S; key words and signs stay."""
-    out = []
-    for t in _TOKENS.findall(text):
-        c = t[0]
-        if c in "\"'" and len(t) > 1:
-            out.append("S")
-        elif c.isdigit():
-            out.append("0")
-        elif c.isalpha() or c in "_$":
-            out.append(t if t in KEYWORDS else "I")
-        else:
-            out.append(c)
+def masked(token: str) -> str:
+    """A name is I, a number 0, a string S; key words and signs stay."""
+    c = token[0]
+    if c in "\"'" and len(token) > 1:
+        return "S"
+    if c.isdigit():
+        return "0"
+    if c.isalpha() or c in "_$":
+        return token if token in KEYWORDS else "I"
+    return c
+
+
+def masked_hashes(text: str, cache: dict[str, int]) -> np.ndarray:
+    """Hashes of the masked tokens of a text."""
+    if len(cache) > 400_000:
+        cache.clear()
+    found = _TOKENS.findall(text)
+    out = np.empty(len(found), np.uint64)
+    for i, t in enumerate(found):
+        h = cache.get(t)
+        if h is None:
+            h = cache[t] = xxhash.xxh64_intdigest(masked(t))
+        out[i] = h
     return out
 
 
@@ -130,7 +141,10 @@ def signs(path: str, text: str) -> int:
         bits |= MINIFIED
     if not text:
         return bits
-    for line in text.split("\n", 40)[:40]:  # a header: only comments and blank lines before it
+    at = 0
+    while at < len(text):  # a header: only comments and blank lines before it, however long
+        end = text.find("\n", at)
+        line, at = (text[at:], len(text)) if end < 0 else (text[at:end], end + 1)
         if not line.strip() or line.startswith(("package ", "'use strict'", '"use strict"')):
             continue
         if not _COMMENT.match(line):
@@ -150,49 +164,101 @@ def signs(path: str, text: str) -> int:
 
 
 def features(chunks: DataFrame) -> DataFrame:
-    """(project, path, bits, raw, cls, n, blob, bands) of every chunk of a project."""
+    """(project, path, bits, raw, cls, c8, n, blob, bands) of every chunk of a project.
+
+    The set and the bands stand in the first row of a class in a task and are null in the others.
+    """
     rng = np.random.default_rng(707)
     mul = rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 
+    def bands(hashes: np.ndarray) -> list[int]:
+        hs = mix(hashes)
+        low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(hs), 2048):
+            np.minimum(low, (hs[at : at + 2048, None] * mul + add).min(axis=0), out=low)
+        band = low.reshape(BANDS, ROWS)
+        key = band[:, 0].copy()
+        for r in range(1, ROWS):
+            key = mix(key) + band[:, r]
+        return mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
+        seen: set[bytes] = set()
         for batch in batches:
             rows = []
             for project, path, text in zip(batch["project"], batch["file_path"], batch["content"]):
                 text = text or ""
                 bits = signs(path, text)
-                masked = shingle_hashes(token_hashes(masked_tokens(text), cache), WIDTH)
+                hashes = shingle_hashes(masked_hashes(text, cache), WIDTH)
                 raw = xxhash.xxh64_intdigest(" ".join(text.split())) - (1 << 63)
-                if len(masked) < 2:
-                    rows.append((project, path, bits, raw, None, 0, None, None))
+                if len(hashes) < 2:
+                    rows.append((project, path, bits, raw, None, None, 0, None, None))
                     continue
-                hs = mix(masked)
-                low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(hs), 2048):
-                    np.minimum(low, (hs[at : at + 2048, None] * mul + add).min(axis=0), out=low)
-                band = low.reshape(BANDS, ROWS)
-                key = band[:, 0].copy()
-                for r in range(1, ROWS):
-                    key = mix(key) + band[:, r]
-                key = mix(key + np.arange(BANDS, dtype=np.uint64))
-                blob = pack(masked)
-                rows.append((project, path, bits, raw, xxhash.xxh3_128_digest(blob), len(masked), blob, key.view(np.int64).tolist()))
+                blob = pack(hashes)
+                cls = xxhash.xxh3_128_digest(blob)
+                again = cls in seen
+                if len(seen) > 400_000:
+                    seen.clear()
+                seen.add(cls)
+                rows.append((project, path, bits, raw, cls, int.from_bytes(cls[:8], "big", signed=True), len(hashes), None if again else blob, None if again else bands(hashes)))
             if rows:
-                yield pd.DataFrame(rows, columns=["project", "path", "bits", "raw", "cls", "n", "blob", "bands"])
+                yield pd.DataFrame(rows, columns=["project", "path", "bits", "raw", "cls", "c8", "n", "blob", "bands"]).astype({"c8": "Int64"})
 
     src = chunks.select(norm_key(F.col("project_id")).alias("project"), "file_path", "content").where("project is not null and file_path is not null")
-    return src.mapInPandas(run, "project string, path string, bits int, raw bigint, cls binary, n int, blob binary, bands array<bigint>")
+    return src.mapInPandas(run, "project string, path string, bits int, raw bigint, cls binary, c8 bigint, n int, blob binary, bands array<bigint>")
+
+
+def leaders(band: np.ndarray, n: np.ndarray, c8: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, leader) row pairs to compare; rows are sorted by band, then n. At most two pairs a row."""
+    start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+    group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(band)]))
+    place = group.astype(np.int64) << 32 | n.astype(np.int64)
+    ends = np.r_[start[1:], len(band)]
+    head, before, stop = start, np.full(len(start), -1), ends
+    left, right = [], []
+    while len(head):
+        reach = np.searchsorted(place, (group[head].astype(np.int64) << 32) + np.floor(n[head] / LEAD).astype(np.int64), "right")
+        reach = np.minimum(reach, stop)
+        for lead, first in ((head, head + 1), (before, head)):  # the leader's own members, and what the one before it may reach
+            size = np.where(lead >= 0, np.maximum(reach - first, 0), 0)
+            rows = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            by = np.repeat(lead, size)
+            ok = (n[by] >= SIMILAR * n[rows] - 1e-9) & (c8[by] != c8[rows])
+            left.append(rows[ok])
+            right.append(by[ok])
+        more = reach < stop
+        head, before, stop = reach[more], head[more], stop[more]
+    return np.concatenate(left), np.concatenate(right)
 
 
 def clusters(feats: DataFrame) -> DataFrame:
     """(cls, root): classes tied by verified similarity; a class tied to none is its own root and has no row."""
-    classes = stage(feats.where("cls is not null").select("cls", "n", "blob", "bands").dropDuplicates(["cls"]), "masked")
-    banded = classes.select("cls", "n", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min(F.struct("cls", "n")).alias("f"), F.count("*").alias("k")).where("k > 1").select("band", F.col("f.cls").alias("b"), F.col("f.n").alias("m"))
-    # sets whose sizes differ by more than the similarity allows can't reach it
-    fits = F.least("n", "m") >= F.greatest("n", "m") * SIMILAR
-    pairs = banded.join(first, "band").where((F.col("cls") != F.col("b")) & fits).select(F.col("cls").alias("a"), "b").distinct()
+    classes = feats.where("blob is not null").select("cls", "c8", "n", "blob")
+    banded = feats.where("blob is not null").select(F.explode("bands").alias("band"), "n", "c8").repartition("band").sortWithinPartitions("band", "n", "c8")
+
+    def star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] | None = None  # the rows of the last bucket, which may go on in the next batch
+        for batch in batches:
+            rows = [batch[c].to_numpy() for c in ("band", "n", "c8")]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            held, ready = [r[cut:] for r in rows], [r[:cut] for r in rows]
+            if cut:
+                x, y = leaders(*ready)
+                if len(x):
+                    yield pd.DataFrame({"a": ready[2][x], "b": ready[2][y]})
+        if held is not None:
+            x, y = leaders(*held)
+            if len(x):
+                yield pd.DataFrame({"a": held[2][x], "b": held[2][y]})
+
+    met = banded.mapInPandas(star, "a bigint, b bigint")
+    pairs = stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
     return components(verify(pairs, classes, SIMILAR).select("a", "b"))
 
 

@@ -72,34 +72,52 @@ def unpack(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def signatures(df: DataFrame, key: str, text: str, width: int = 3, min_tokens: int = 30) -> DataFrame:
-    """(key, n, cls, blob) for each text of at least ``min_tokens`` tokens.
+def signatures(df: DataFrame, key: str, text: str, width: int = 3, min_tokens: int = 30, keep: tuple[str, ...] = (), scope: str | None = None, part: str | None = None) -> DataFrame:
+    """(key, *keep, cls, c8, n, blob), one row per text of at least ``min_tokens`` tokens.
 
     ``cls`` names the text's class: texts with the same shingle set share it (16-byte digest), so exact and trivially
-    reformatted copies collapse before any pair is formed. Null, empty and short texts give no row.
+    reformatted copies collapse before any pair is formed; ``c8`` is its first half as a number, for candidate lists only.
+    ``blob``, the set, stands in the first row of the class in a task and is null in the others: however many copies there
+    are, a task passes on one. Null, empty and short texts give no row.
+
+    With ``scope`` (one of ``keep``) classes are told apart by it, too, and short texts give a row without class; ``part``
+    (one of ``keep``) asks for a set in every part.
     """
+    at = keep.index(scope) if scope else -1
+    within = keep.index(part) if part else -1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
+        seen: set = set()
         for batch in batches:
-            keys, ns, classes, blobs = [], [], [], []
-            for k, t in zip(batch[key], batch[text]):
-                if k is None or t is None:
+            rows = []
+            for k, t, *more in zip(batch[key], batch[text], *[batch[c] for c in keep]):
+                if k is None or t is None and not scope:
                     continue
-                tokens = _RUNS.findall(t.lower())
+                tokens = _RUNS.findall(t.lower()) if t else []
                 if len(tokens) < max(min_tokens, width):
+                    if scope:
+                        rows.append((k, *more, None, None, None, None))
                     continue
                 hs = shingle_hashes(token_hashes(tokens, cache), width)
                 blob = pack(hs)
-                keys.append(k)
-                ns.append(len(hs))
-                classes.append(xxhash.xxh3_128_digest(blob))
-                blobs.append(blob)
-            if keys:  # an empty frame has no types to send
-                yield pd.DataFrame({key: keys, "n": ns, "cls": classes, "blob": blobs})
+                cls = xxhash.xxh3_128_digest(more[at].encode() + b"\0" + blob if scope else blob)
+                mark = (more[within], cls) if part else cls
+                rows.append((k, *more, cls, int.from_bytes(cls[:8], "big", signed=True), len(hs), None if mark in seen else blob))
+                if len(seen) > _CACHE:  # a class may be passed on again
+                    seen.clear()
+                seen.add(mark)
+            if rows:  # an empty frame has no types to send
+                out = pd.DataFrame(rows, columns=[key, *keep, "cls", "c8", "n", "blob"])
+                yield out.astype({"c8": "Int64", "n": "Int32"}) if scope else out
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return df.select(key, text, *keep).mapInPandas(run, f"{kinds}, cls binary, c8 bigint, n int, blob binary")
+
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, n int, cls binary, blob binary")
+def classes_of(sig: DataFrame) -> DataFrame:
+    """(cls, c8, n, blob) of :func:`signatures`; a class may come from several tasks and then shows several times."""
+    return sig.where("blob is not null").select("cls", "c8", "n", "blob")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -120,13 +138,16 @@ def blob_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of class ids whose sets reach the threshold, with ``sim``.
+    """(a, b, sim): classes of the candidate pairs (a, b), given by ``c8``, whose sets reach the threshold; a < b.
 
-    Only classes that occur in a pair are carried on: a semi-join on the ids cuts the sets before the two joins.
+    Two classes of one c8 (a matter of 10^10 classes) are both looked at, so a half id can add work, never a wrong pair.
+    ``pairs`` should be staged: Spark then knows its size and sends the ids to the sets, not the sets to the ids, while
+    they are few. Only the sets that occur in a pair are carried on.
     """
-    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sub = stage(classes.select("cls", "blob").join(ids, "cls", "left_semi"), "verify")
+    ids = pairs.select(F.col("a").alias("c8")).union(pairs.select(F.col("b").alias("c8"))).distinct()
+    sub = stage(classes.select("cls", "c8", "blob").join(ids, "c8", "left_semi").dropDuplicates(["cls"]), "verify")
     sim = F.pandas_udf(blob_jaccard, DoubleType())
-    left = sub.select(F.col("cls").alias("a"), F.col("blob").alias("blob_a"))
-    right = sub.select(F.col("cls").alias("b"), F.col("blob").alias("blob_b"))
-    return pairs.join(left, "a").join(right, "b").withColumn("sim", sim("blob_a", "blob_b")).where(F.col("sim") >= threshold - 1e-12).select("a", "b", "sim")
+    left = sub.select(F.col("c8").alias("a"), F.col("cls").alias("cls_a"), F.col("blob").alias("blob_a"))
+    right = sub.select(F.col("c8").alias("b"), F.col("cls").alias("cls_b"), F.col("blob").alias("blob_b"))
+    met = pairs.join(left, "a").join(right, "b").withColumn("sim", sim("blob_a", "blob_b")).where(F.col("sim") >= threshold - 1e-12)
+    return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), "sim").where("a < b")

@@ -60,6 +60,20 @@ def test_prefix_levels_lose_nothing():
     assert neardup.prefix_level(np.array([500.0] * 10), 3) > 1
 
 
+def test_split_tokens(spark, texts):
+    """Tokens split into blocks of two holders give the pairs of unsplit ones."""
+    df = spark.createDataFrame([(k, t) for k, t in texts.items() if t], "chunk_id string, content string")
+    sig = neardup.stage(neardup.signatures(df, "chunk_id", "content"), "sig")
+    whole, split = ({tuple(r) for r in neardup.verify(neardup.candidates(neardup.classes_of(sig), 0.7, block), neardup.classes_of(sig), 0.7).select("a", "b").collect()} for block in (2048, 2))
+    assert whole == split and len(whole) > 10
+
+
+def test_count_codes():
+    c = np.r_[np.arange(4000), 10**6, 10**9]
+    back = neardup.decode_counts(neardup.encode_counts(c))
+    assert (back[:9] == c[:9]).all() and (abs(back - c) <= 0.05 * c + 0.5).all() and (np.diff(back) >= 0).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
@@ -152,11 +166,14 @@ def test_replay(spark, texts):
             want |= {x[0] for x in new} - {x[0] for x in good}
             kept += good
     assert got == want and len(want) > 20
+    # one batch, and batches split because too many new texts meet in one range
+    for how in (dict(slices=1), dict(slices=2, crowd=1)):
+        assert {x.chunk_id for x in history.replay(chunks, r, **how).where("turned_away").collect()} == want
     assert history.replay(chunks.limit(0), r.limit(0)).count() == 0
 
 
 def test_forest(spark, texts, tmp_path):
-    assert history.least_depth(0.7, 20, 6, 0.999) == 3
+    assert history.least_depth() == history.WIDEST
     f = history.SignatureForest(spark, str(tmp_path / "forest"), max_runs=2)
     frame = lambda ks, s="p": spark.createDataFrame([(k, s, texts[k]) for k in ks], "chunk_id string, scope string, content string")
     first = {r.chunk_id: r.accepted for r in f.accept(frame(["id00-0", "id01-0", "short", "null"])).collect()}
@@ -165,7 +182,7 @@ def test_forest(spark, texts, tmp_path):
     assert second == {"id00-1": not alike(texts["id00-0"], texts["id00-1"]), "id02-0": True, "short": True}
     assert f.accept(frame(["id00-0"], "other")).collect()[0].accepted
     third = {r.chunk_id: r.accepted for r in f.accept(frame(["id02-0", "id01-0"])).collect()}
-    assert third == {"id02-0": False, "id01-0": False} and len(f._runs()) <= 2
+    assert third == {"id02-0": False, "id01-0": False} and len(f._list("runs")) <= 2
 
 
 def test_forest_hashes(spark, tmp_path):
