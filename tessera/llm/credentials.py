@@ -1,9 +1,12 @@
 """Problem 2: credentials embedded in source code, found lexically and masked in place.
 
-Code is read as a sequence of tokens (names, string literals, operators, line ends). A literal is a candidate if it is assigned
-or passed to a name of a credential, is the secret half of a login call, header, connection URL or command option, or has the
-form of an issued key. Candidates that are placeholders, references, prompts, patterns or digests are dropped. Masking
-replaces only the characters of the literal: quotes, escapes and line ends stay.
+A text that holds a cue anywhere is read whole, once, as a sequence of tokens (names, string literals, operators, line ends);
+what stands inside a literal of several lines is read as text of its own, too, as a chunk may start in the middle of one. A
+literal is a candidate if it is assigned or passed to a name of a credential. Formats without quotes have their own readers
+of the lines with a cue: settings (name = value), markup (elements and attributes), command options, and the forms that stand
+inside literals and comments: connection URLs, headers, logins, issued keys, key blocks. Candidates that are placeholders,
+references, prompts, patterns or digests are dropped. Masking replaces only the characters of the literal: quotes, line ends
+and the escapes of these stay, and a character written as a number in an escape is replaced by another one written so.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ _TOK = re.compile(
 )
 _KEYBLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 _KEYEND = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_ARMOUR = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nr]|[\s\"'+,\\]|[A-Za-z-]+: [^\n]*(?=\n))*")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s/:@'\"`<>]*):([^\s@/'\"`<>]+)@[\w.\-\[\]$({]")
 _HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization\W{1,8}(?:bearer|basic|token|apikey)\s+([^\s'\"`,;<>\\)]+)|\b(?:x-auth(?:-token|-key)?|x-api-key|api-key|x-access-token|private-token)\s*['\"]?\s*[:=]\s*['\"]?([^\s'\"`,;<>\\)]+)|['\"`](?:bearer|basic)\s+([^\s'\"`,;<>\\)]+)")
 _OPTION = re.compile(r"(?i)(?<![\w-])--?([a-z][\w\-]*)(?:\s+|=)(?:'([^'\n]*)'|\"([^\"\n]*)\"|([^\s'\"`\\]+))")
@@ -52,8 +56,12 @@ _XML_TAG = re.compile(r"<([A-Za-z_][\w.:\-]*)(?:\s[^<>]*)?>([^<>\n]+)</\1>")
 _XML_ATTR = re.compile(r"\b(?:name|key|id)\s*=\s*\"([^\"]+)\"[^<>]*?\bvalue\s*=\s*\"([^\"]*)\"|\bvalue\s*=\s*\"([^\"]*)\"[^<>]*?\b(?:name|key|id)\s*=\s*\"([^\"]+)\"")
 _CONFIG = re.compile(r"^[ \t]*(?:(?:#|//|--|;|\*)[ \t]*)?(?:-[ \t]+)?(?:(?:export|ENV|ARG|set|SET|LABEL)[ \t]+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?[ \t]*[:=][ \t]*(.*?)[ \t\r]*$")
 _INLINE_ENV = re.compile(r"(?<![\w.])((?:[A-Z][A-Z0-9]*_)*(?:[A-Z][A-Z0-9]*))=([^\s'\"`;&|]+)")
-_ISSUED = re.compile(r"(?<![A-Za-z0-9_/+\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_\-]{24,}|AIza[\w\-]{30,}|cix_(?:live|svc|pat|test|key)?_?[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{16,}|glpat-[\w\-]{18,}|eyJ[\w\-]{10,}\.eyJ[\w\-]{10,}\.[\w\-]{10,})")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9_/+\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_\-]{24,}|AIza[\w\-]{30,}|[a-z]{2,5}_(?:(?:live|svc|pat|test|key)_)?(?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Z])[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{16,}|glpat-[\w\-]{18,}|eyJ[\w\-]{10,}\.eyJ[\w\-]{10,}\.[\w\-]{10,})")
 
+#: A further part of a literal: after a plus, or on the next line.
+_GOES_ON = re.compile(r"\s*(?:\+|\.|\\)?\s*(?:\+\s*)?(['\"])((?:[^'\"\\\n]|\\.)*)\1")
+#: A character written as a number.
+_NUMBERED = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]{1,6})\}|([0-3][0-7]{2}))")
 _PLACE = re.compile(
     r"(?i)^(?:change.?me|changeit|todo|fixme|tbd|none|null|nil|undefined|n/?a|unset|empty|dummy|example|sample|test|testing|placeholder|password|passwd|pwd|secret|token|key|api.?key|redacted|masked|hidden|removed|string|str|value|insert.*|replace.*|enter.*|your.*|my[-_].*|some[-_].*|the[-_].*|put[-_].*|fill.*|to.?be.*|default|foo|bar|baz|true|false|yes|no|on|off|required|optional|abc123?|12345\d*|0+|(.)\1{3,})$"
 )
@@ -73,7 +81,7 @@ def name_words(name: str) -> list[str]:
 def name_strength(name: str) -> int:
     """2 for a name that holds a credential, 1 for one that may (a bare token or key), 0 otherwise."""
     words = name_words(name)
-    if not words or len(words) > 8:
+    if not words:
         return 0
     while words and words[-1].isdigit():
         words.pop()
@@ -109,10 +117,12 @@ def looks_random(v: str) -> bool:
 def is_secret(value: str, strength: int) -> bool:
     """Whether a literal in the place of a credential is one: not empty, masked, a placeholder, reference, prompt, pattern or digest."""
     v = value.strip()
-    if len(v) < 4 or len(v) > 4096 or _PLACE.match(v) or _REF.search(v) or _MASKED.search(v) or _DIGESTY.match(v):
-        return False
-    if re.search(r"\s", v):
+    if len(v) < 4 or _PLACE.match(v) or _REF.search(v) or _MASKED.search(v) or _DIGESTY.match(v):
         return False
+    if re.search(r"\s", v):  # several words: a passphrase only if most of them mix letters with digits or signs
+        parts = v.split()
+        odd = sum(bool(re.search(r"[A-Za-z]", w)) and bool(re.search(r"\d|[^\w\s.,:;!?'\")]|[!?.,:;](?=\w)", w)) for w in parts)
+        return strength >= 2 and 2 * odd > len(parts) and not _REGEX.search(v) and not re.search(r"[={}()<>]", v)
     if _REGEX.search(v) or v.startswith(("http://", "https://", "/", "./", "~/")) and not looks_random(v.rsplit("/", 1)[-1]):
         return False
     if re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*\(.*\)?;?", v) or re.fullmatch(r"[a-z_]\w*(?:\.[a-z_]\w*)+", v):
@@ -131,8 +141,15 @@ def _ext(path: str | None) -> str:
 
 def _literal_candidates(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
     """(start, end, strength) of literals tied to a credential name among the tokens of text[lo:hi]."""
-    toks = [(m.lastgroup, m.start(), m.end()) for m in _TOK.finditer(text, lo, hi)]
-    flat = [t for t in toks if t[0] != "nl"]
+    flat = []
+    for m in _TOK.finditer(text, lo, hi):
+        kind = m.lastgroup
+        if kind == "nl":
+            continue
+        flat.append((kind, m.start(), m.end()))
+        if kind in ("triple", "str") and text.find("\n", m.start(), m.end()) >= 0:
+            n = 3 if kind == "triple" else 1
+            yield from _literal_candidates(text, m.start() + n, m.end() - n)
 
     def word(k: int) -> str:
         return text[flat[k][1] : flat[k][2]] if 0 <= k < len(flat) else ""
@@ -157,7 +174,7 @@ def _literal_candidates(text: str, lo: int, hi: int) -> Iterator[tuple[int, int,
         if p in ("=", ":=", ":", "=>", "||", "?", "??", "or"):
             if p in ("||", "or", "??"):  # a default after a lookup: name = lookup || "literal"
                 back = j
-                while back > 0 and back > j - 14 and word(back) not in ("=", ":=", ":") and text.find("\n", flat[back][2], flat[j][1]) < 0:
+                while back > 0 and word(back) not in ("=", ":=", ":") and text.find("\n", flat[back][1], flat[back + 1][1]) < 0:
                     back -= 1
                 j = back
                 if word(j) not in ("=", ":=", ":"):
@@ -250,14 +267,16 @@ def _scan(text: str, path: str | None) -> list[tuple[int, int, bool]]:
             spans.setdefault((a, b), first)
 
     for m in _KEYBLOCK.finditer(text):
-        end = _KEYEND.search(text, m.end())
-        stop = end.start() if end and end.start() - m.end() < 20_000 else min(len(text), m.end() + 4000)
+        end, again = _KEYEND.search(text, m.end()), _KEYBLOCK.search(text, m.end())
+        if end and not (again and again.start() < end.start()):
+            stop = end.start()
+        else:  # cut off: as far as the text goes on as armour
+            stop = _ARMOUR.match(text, m.end()).end()
         between = text[m.end() : stop]
         if len(re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", between)) < 16 or _MASKED.search(between[:60]) or (code and _REGEX.search(between)):
             continue
         spans[(m.start(), m.end())] = True  # tells the line, stays unmasked
         spans[(m.end(), stop)] = False
-    done_to = -1
     for i in lines:
         lo, hi = starts[i], line_end(i)
         line = text[lo:hi]
@@ -323,52 +342,71 @@ def _scan(text: str, path: str | None) -> list[tuple[int, int, bool]]:
                         bare = re.split(r"\s+[#;]|,$", v)[0].strip().rstrip("\\").strip()
                         if is_secret(bare, strength) and "'" not in bare and '"' not in bare:
                             add(at, at + len(bare))
-        if i <= done_to:
+    for a, b, strength in _literal_candidates(text, 0, len(text)):
+        whole, parts = text[a:b], [(a, b)]
+        at = b + 1
+        while (m := _GOES_ON.match(text, at)) and ("+" in text[at : m.start(1)] or text[at : m.start(1)].strip() in ("", "\\", ".") and "\n" in text[at : m.start(1)]):
+            parts.append((m.start(2), m.end(2)))
+            whole += m.group(2)
+            at = m.end()
+        if "PRIVATE KEY" in whole or _URL.search(whole) or not is_secret(_plain(whole), strength):
             continue
-        # a statement may run over the next lines: read them with it
-        j = min(i + 3, len(starts) - 1)
-        window = line_end(j)
-        if window - lo > 20_000:
-            window = hi
-        for a, b, strength in _literal_candidates(text, lo, window):
-            if bisect_right(starts, a) - 1 > i and not re.search(r"[=(,:+\\]\s*$", text[lo:hi]):
-                continue
-            whole, parts = text[a:b], [(a, b)]
-            at = b + 1
-            while (m := re.compile(r"\s*(?:\+|\.|\\)?\s*(?:\+\s*)?(['\"])((?:[^'\"\\\n]|\\.)*)\1").match(text, at)) and len(parts) < 12 and (("+" in m.group(0)[: m.start(2) - m.start()]) or text[at : m.start(1)].strip() in ("", "\\", ".") and "\n" in text[at : m.start(1)]):
-                parts.append((m.start(2), m.end(2)))
-                whole += m.group(2)
-                at = m.end()
-            if "PRIVATE KEY" in whole or _URL.search(whole) or not is_secret(whole, strength):
-                continue
-            for n, (x, y) in enumerate(parts):
-                add(x, y, n == 0)
+        for n, (x, y) in enumerate(parts):
+            add(x, y, n == 0)
     out: list[tuple[int, int, bool]] = []
     for (a, b), first in sorted(spans.items(), key=lambda kv: (kv[0][0], -kv[0][1])):
         if not out or a >= out[-1][1]:
             out.append((a, b, first))
-        elif b > out[-1][1] and not out[-1][2]:
-            continue
+        elif b > out[-1][1]:  # two readings of one place: all of both
+            out[-1] = (out[-1][0], b, out[-1][2] or first)
     return out
 
 
+def _plain(value: str) -> str:
+    """A literal with the escapes that carry characters read."""
+    if "\\" not in value:
+        return value
+    return _NUMBERED.sub(lambda m: chr(int(m.group(1) or m.group(2) or m.group(3), 16) if not m.group(4) else int(m.group(4), 8)) if int(m.group(1) or m.group(2) or m.group(3) or "0", 16) < 0x110000 else "?", value)
+
+
 def credential_lines(text: str, path: str | None = None) -> list[int]:
     """The lines, from 1, on which a credential starts."""
     return sorted({text.count("\n", 0, a) + 1 for a, _, first in _scan(text, path) if first})
 
 
-_KEEP = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|[\r\n\t ]+|[^\\\r\n\t ]+", re.S)
+_PIECES = re.compile(r"(?P<number>\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]{1,6}\}|[0-3][0-7]{2}))|(?P<keep>\\[\\\"'`nrtbfv0$\n]|[\r\n\t ]+)|(?P<plain>(?:[^\\\r\n\t ]|\\(?![xu0-3\\\"'`nrtbfv$\n]).|\\$)+|\\)", re.S)
 
 
-def mask(text: str, path: str | None = None) -> str:
-    """The text with each credential's characters masked; escapes, white space and all that surrounds it stay as they are."""
-    out, at = [], 0
-    for a, b, _ in _scan(text, path):
+def _masked(value: str) -> str:
+    """A literal's characters masked. Escapes of quotes and line ends stay; a numbered character becomes an X of the same form."""
+    out = []
+    for m in _PIECES.finditer(value):
+        piece = m.group(0)
+        if m.lastgroup == "keep":
+            out.append(piece)
+        elif m.lastgroup == "plain":
+            out.append(MASK)
+        else:
+            out.append("\\x58" if piece[1] == "x" else "\\130" if piece[1].isdigit() else "\\u{58}" if "{" in piece else "\\u0058")
+    return "".join(out)
+
+
+def redact(text: str, path: str | None = None) -> tuple[str, int]:
+    """(the text with each credential's characters masked, the number of lines on which one starts); all else stays."""
+    out, at, lines = [], 0, set()
+    for a, b, first in _scan(text, path):
+        if first:
+            lines.add(text.count("\n", 0, a))
         if _KEYBLOCK.fullmatch(text[a:b]):
             continue
-        out += [text[at:a], "".join(t if t[0] in "\\\r\n\t " else MASK for t in _KEEP.findall(text[a:b]))]
+        out += [text[at:a], _masked(text[a:b])]
         at = b
-    return "".join(out) + text[at:]
+    return "".join(out) + text[at:], len(lines)
+
+
+def mask(text: str, path: str | None = None) -> str:
+    """The text with each credential's characters masked."""
+    return redact(text, path)[0]
 
 
 def credential_rows(chunks: DataFrame) -> DataFrame:
@@ -395,9 +433,9 @@ def redacted(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for cid, path, text in zip(batch["chunk_id"], batch["file_path"], batch["content"]):
-                n = len(credential_lines(text, path)) if text else 0
+                masked, n = redact(text, path) if text else ("", 0)
                 if n:
-                    rows.append((cid, mask(text, path), n))
+                    rows.append((cid, masked, n))
             if rows:
                 yield pd.DataFrame(rows, columns=["chunk_id", "content", "n_masked"])
 
