@@ -6,7 +6,7 @@ frequent elements takes a longer prefix and in return asks for more common eleme
 min(l_a, l_b) elements, which loses no pair. What passes is verified exactly.
 
 Frequencies come from a table of counters filled from all records; any order is correct, a better one only saves work. The
-table grows with the data up to 2^22 counters (16 MB); a task reports one byte a counter. The postings are shuffled once and
+table grows with the data up to 2^22 counters; a task, and the table itself, sends one byte a counter. The postings are shuffled once and
 sorted by token, and the holders of a token are paired where they meet. A token with many holders is split: its holders
 are hashed into blocks, and every pair of blocks is a group of its own, so no task holds more than two blocks of a token.
 Copies collapse into classes first, so no group of copies meets itself.
@@ -66,13 +66,13 @@ def frequency_table(classes: DataFrame) -> np.ndarray:
         out = np.zeros(width, np.float64)
         for p in parts:
             out += decode_counts(np.frombuffer(p, np.uint8))
-        return np.minimum(out, 2**31 - 1).astype("<i4").tobytes()
+        return encode_counts(out).tobytes()
 
     summed = F.pandas_udf(add, BinaryType())
     rows = classes.select("blob").mapInPandas(count, "lo int, counts binary").groupBy("lo").agg(summed("counts").alias("counts")).collect()
     out = np.zeros(counters, np.int32)
     for r in rows:
-        out[r.lo : r.lo + width] = np.frombuffer(r.counts, "<i4")
+        out[r.lo : r.lo + width] = np.minimum(decode_counts(np.frombuffer(r.counts, np.uint8)), 2**31 - 1)
     return out
 
 

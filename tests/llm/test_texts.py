@@ -193,3 +193,55 @@ def test_credentials_whole_and_masked():
         assert credentials.credential_lines(masked, "a.py") == [] or "BEGIN" in text or "\\x" in text or "\\u" in text
     for text in ('password = "Enter your new password"', 'password_prompt = "Zx9!aa bb cc12"', 'label = "password must have 8 characters"'):
         assert credentials.credential_lines(text, "a.py") == []
+
+
+def test_leak_filter_loses_nothing():
+    """Whatever the aligner accepts passes the q-gram bound: short words, edits, remarks, texts without blanks."""
+    import random
+
+    from tessera.llm import leaks
+
+    rng = random.Random(12)
+    short = [a + b + c for a in "bdgk" for b in "aeiou" for c in "nst"]
+    long = [x + y for x in ("index", "resolver", "snapshot", "walk", "orphan") for y in ("ing", "ed", "able", "er", "less", "wise")]
+    items = {}
+    for i in range(24):
+        items[i] = " ".join(rng.choice(short if i % 3 else long) for _ in range(rng.randint(10, 40)))
+    items[90] = "索引は更新が終わると古い記録を置き換えるので計画部は次の作業の前に新しいファイルを必ず確認する"
+    index = leaks.ItemIndex(list(items.items()))
+    assert set(index.words) == set(items)
+    seen = 0
+    for i, text in items.items():
+        w = leaks.words(text)
+        for _ in range(30):
+            need = min(leaks.needs(w)[0], len(w))
+            at = rng.randint(0, len(w) - need)
+            part = w[at : at + need]
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(part))
+                part[k : k + 1] = rng.choice([[], ["changed"], [part[k], "added"]])
+            if rng.random() < 0.5:
+                k = rng.randint(1, len(part) - 1)
+                part[k:k] = ["a", "remark", "of", "someone", "else"] * rng.randint(1, 6)
+            doc = [rng.choice(long) for _ in range(30)] + part + [rng.choice(long) for _ in range(30)]
+            if leaks.holds(w, doc, index.where[i]):
+                seen += 1
+                assert (0, index.ids.index(i)) in index.candidates([" ".join(doc).encode()]), (text, part)
+    assert seen > 200
+    assert leaks.holds(index.words[90], leaks.words("前に。" + items[90]), index.where[90])
+    halves = leaks.words(items[1])[:14]
+    doc = halves[:7] + ["so", "we", "say", "here"] + halves[7:]
+    assert leaks.holds(index.words[1], doc) and (0, index.ids.index(1)) in index.candidates([b"x y", " ".join(doc).encode()][1:])
+
+
+def test_leaks_in_parts(spark):
+    """Items beyond the bound are taken in parts, with the same rows."""
+    from tessera.llm import leaks
+
+    words = [a + b for a in ("in", "re", "sol", "wal", "mer", "tab") for b in ("dex", "set", "ver", "king", "ging", "le")]
+    texts = [" ".join(words[(i * 7 + k * (i + 2)) % 36] for k in range(20)) for i in range(9)]
+    items = spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)] + [(50, "s", None), (51, "s", " ")], "item_id bigint, suite string, text string")
+    docs = spark.createDataFrame([(i, "x " + t.upper()) for i, t in enumerate(texts)] + [(70, None), (71, "")], "doc_id bigint, text string")
+    whole, parts = ({tuple(r) for r in leaks.find_leaks(docs, items, most).collect()} for most in (10**6, 200))
+    assert whole == parts and {(i, i) for i in range(9)} <= whole
+    assert leaks.leak_report(docs, items).count() == 9
