@@ -28,6 +28,9 @@ from tessera.llm.shingles import mix, pack, shingle_hashes, verify
 from tessera.session import norm_key, stage, union_all
 
 WIDTH, SIMILAR, BANDS, ROWS, LEAD = 5, 0.8, 16, 7, 0.9
+#: Of one bit of each of the 112 min-hash values, so many may differ: a pair of similarity 0.8 that meets in a band has 10.5 on
+#: average, with a deviation of 3.1.
+BITS_APART = 20
 MANY_PROJECTS = 6
 #: Distinct masked shingles from which on a cluster spreads marks between unequal texts; a plain list or a short comment has fewer.
 SHAPE = 20
@@ -164,15 +167,15 @@ def signs(path: str, text: str) -> int:
 
 
 def features(chunks: DataFrame) -> DataFrame:
-    """(project, path, bits, raw, cls, c8, n, blob, bands) of every chunk of a project.
+    """(project, path, bits, raw, cls, c8, n, blob, bands, s1, s2) of every chunk of a project; s1 and s2 hold a bit a min-hash value.
 
-    The set and the bands stand in the first row of a class in a task and are null in the others.
+    The set, the bands and the bits stand in the first row of a class in a task and are null in the others.
     """
     rng = np.random.default_rng(707)
     mul = rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 
-    def bands(hashes: np.ndarray) -> list[int]:
+    def bands(hashes: np.ndarray) -> tuple[list[int], int, int]:
         hs = mix(hashes)
         low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(hs), 2048):
@@ -181,7 +184,10 @@ def features(chunks: DataFrame) -> DataFrame:
         key = band[:, 0].copy()
         for r in range(1, ROWS):
             key = mix(key) + band[:, r]
-        return mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+        keys = mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+        bit = np.packbits((mix(low) >> np.uint64(60)).astype(np.uint8) & 1, bitorder="little").tobytes()
+        half = len(bit) // 2
+        return keys, int.from_bytes(bit[:half], "little"), int.from_bytes(bit[half:], "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
@@ -194,7 +200,7 @@ def features(chunks: DataFrame) -> DataFrame:
                 hashes = shingle_hashes(masked_hashes(text, cache), WIDTH)
                 raw = xxhash.xxh64_intdigest(" ".join(text.split())) - (1 << 63)
                 if len(hashes) < 2:
-                    rows.append((project, path, bits, raw, None, None, 0, None, None))
+                    rows.append((project, path, bits, raw, None, None, 0, None, None, None, None))
                     continue
                 blob = pack(hashes)
                 cls = xxhash.xxh3_128_digest(blob)
@@ -202,16 +208,20 @@ def features(chunks: DataFrame) -> DataFrame:
                 if len(seen) > 400_000:
                     seen.clear()
                 seen.add(cls)
-                rows.append((project, path, bits, raw, cls, int.from_bytes(cls[:8], "big", signed=True), len(hashes), None if again else blob, None if again else bands(hashes)))
+                keys, s1, s2 = (None, None, None) if again else bands(hashes)
+                rows.append((project, path, bits, raw, cls, int.from_bytes(cls[:8], "big", signed=True), len(hashes), None if again else blob, keys, s1, s2))
             if rows:
-                yield pd.DataFrame(rows, columns=["project", "path", "bits", "raw", "cls", "c8", "n", "blob", "bands"]).astype({"c8": "Int64"})
+                yield pd.DataFrame(rows, columns=["project", "path", "bits", "raw", "cls", "c8", "n", "blob", "bands", "s1", "s2"]).astype({"c8": "Int64", "s1": "Int64", "s2": "Int64"})
 
     src = chunks.select(norm_key(F.col("project_id")).alias("project"), "file_path", "content").where("project is not null and file_path is not null")
-    return src.mapInPandas(run, "project string, path string, bits int, raw bigint, cls binary, c8 bigint, n int, blob binary, bands array<bigint>")
+    return src.mapInPandas(run, "project string, path string, bits int, raw bigint, cls binary, c8 bigint, n int, blob binary, bands array<bigint>, s1 bigint, s2 bigint")
 
 
-def leaders(band: np.ndarray, n: np.ndarray, c8: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, leader) row pairs to compare; rows are sorted by band, then n. At most two pairs a row."""
+def leaders(band: np.ndarray, n: np.ndarray, c8: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, leader) row pairs to compare; rows are sorted by band, then n. At most two pairs a row.
+
+    Pairs whose sizes or min-hash bits are too far apart for the similarity are left out.
+    """
     start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
     group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(band)]))
     place = group.astype(np.int64) << 32 | n.astype(np.int64)
@@ -226,6 +236,7 @@ def leaders(band: np.ndarray, n: np.ndarray, c8: np.ndarray) -> tuple[np.ndarray
             rows = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
             by = np.repeat(lead, size)
             ok = (n[by] >= SIMILAR * n[rows] - 1e-9) & (c8[by] != c8[rows])
+            ok &= np.bitwise_count(s1[by] ^ s1[rows]).astype(int) + np.bitwise_count(s2[by] ^ s2[rows]) <= BITS_APART
             left.append(rows[ok])
             right.append(by[ok])
         more = reach < stop
@@ -236,12 +247,12 @@ def leaders(band: np.ndarray, n: np.ndarray, c8: np.ndarray) -> tuple[np.ndarray
 def clusters(feats: DataFrame) -> DataFrame:
     """(cls, root): classes tied by verified similarity; a class tied to none is its own root and has no row."""
     classes = feats.where("blob is not null").select("cls", "c8", "n", "blob")
-    banded = feats.where("blob is not null").select(F.explode("bands").alias("band"), "n", "c8").repartition("band").sortWithinPartitions("band", "n", "c8")
+    banded = feats.where("blob is not null").select(F.explode("bands").alias("band"), "n", "c8", "s1", "s2").repartition("band").sortWithinPartitions("band", "n", "c8")
 
     def star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] | None = None  # the rows of the last bucket, which may go on in the next batch
         for batch in batches:
-            rows = [batch[c].to_numpy() for c in ("band", "n", "c8")]
+            rows = [batch[c].to_numpy() for c in ("band", "n", "c8", "s1", "s2")]
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
             if not len(rows[0]):
