@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import stage
 
-COMPONENTS, ROUNDS, SEED_ROWS, FLOOR = 12, 20, 4000, 1e-2
+COMPONENTS, ROUNDS, SEED_ROWS, FLOOR = 16, 20, 4000, 1e-2
 DOUBT = 1e-3
 CLASSES = ("prose", "list", "table", "junk")
 
@@ -36,9 +36,28 @@ _MARKUP = re.compile(r"</?[A-Za-z][\w-]*(?: [^<>]*)?/?>|&(?:#\d+|[a-z]+);|(?<![\
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 _HEAVY = re.compile(r"[{}\[\]=<>|\\/*+~^@$%&#_]")
 _CODE_WORD = re.compile(r"\w+_\w+|[a-z]+[A-Z]\w*|\w+\.\w+\(|\d{2,}|::|--\w")
+_ASIDE = re.compile(r"\([\w-]+\)|`[^`]*`")
+_MARK = re.compile(r"(?:[-*+•]|\d+[.)]|\[[ x]\])\s")
+_COLUMNS = re.compile(r"^\|.*\||\t|\S {2,}\S|^[\w.-]+[:=]\s?\S+(?: \S+)?$|^[^,]{1,30}(?:,[^ ,][^,]*){2,}$|;[^ ]+;")
+_DIGIT = re.compile(r"\d")
 _END = re.compile(r"[.!?…:。！？؟][\"'”’)\]]*$")
 
 
+_SEEN: dict[str, tuple[tuple[str, ...], int]] = {}
+
+
+def word_parts(word: str) -> tuple[tuple[str, ...], int]:
+    """(the lower-case parts of a word between apostrophes, how many of them are common); remembered, as words recur."""
+    got = _SEEN.get(word)
+    if got is None:
+        if len(_SEEN) > 200_000:
+            _SEEN.clear()
+        low = word.lower()
+        parts = tuple(re.split(r"['’]", low)) if "'" in low or "’" in low else (low,)
+        got = _SEEN[word] = (parts, sum(p in COMMON for p in parts))
+    return got
+
+
 def sentence_line(line: str) -> float | None:
     """How strongly a line reads as running text: 1 yes, 0 no, None too short to tell by itself."""
     bare = _PREFIX.sub("", line).strip()
@@ -46,20 +65,24 @@ def sentence_line(line: str) -> float | None:
         bare = _MARKUP.sub("", bare)
     if not bare:
         return 0.0
-    cjk = len(_CJK.findall(bare))
-    if cjk >= 0.4 * len(bare.replace(" ", "")):
-        return 1.0 if cjk >= 6 or _END.search(bare) else None
+    solid = len(bare) - bare.count(" ")
+    if not bare.isascii():
+        cjk = len(_CJK.findall(bare))
+        if cjk >= 0.4 * solid:
+            return 1.0 if cjk >= 6 or _END.search(bare) else None
     words = _WORD.findall(bare)
     letters = sum(map(len, words))
-    if letters < 0.55 * len(bare.replace(" ", "")):
+    if letters < 0.55 * solid:
         return 0.0
-    heavy = len(_HEAVY.findall(bare)) + 2 * len(_CODE_WORD.findall(re.sub(r"\([\w-]+\)|`[^`]*`", "", bare)))
+    heavy = len(_HEAVY.findall(bare)) + 2 * len(_CODE_WORD.findall(_ASIDE.sub("", bare) if "(" in bare or "`" in bare else bare))
     if heavy > 1 and heavy > 0.06 * len(bare):
         return 0.0
     parts: list[str] = []
+    common = 0
     for w in words:
-        parts += re.split(r"['’]", w.lower())
-    common = sum(p in COMMON for p in parts)
+        p, n = word_parts(w)
+        parts += p
+        common += n
     if len(words) < 5:
         return None if common or _END.search(bare) else 0.0
     kinds = len(set(parts))
@@ -95,24 +118,25 @@ def sentence_share(text: str) -> float:
     return good / total if total else 0.0
 
 
-STATS = ("words", "mean_word", "symbols", "digits", "ended_lines", "common", "line_length", "distinct", "sentences", "cjk")
+STATS = ("words", "mean_word", "symbols", "digits", "ended_lines", "common", "line_length", "distinct", "sentences", "cjk", "marked", "columns")
 
 
 def statistics(text: str) -> tuple[float, ...]:
     """The statistics of a text that is not blank, in the order of ``STATS``.
 
     Log word count, mean word length, symbol and digit share of the characters, share of lines ending in punctuation, share
-    of common words, log mean line length, share of distinct words, share of characters in sentences, share of CJK characters.
+    of common words, log mean line length, share of distinct words, share of characters in sentences, share of CJK characters, share
+    of lines that start with a list mark, share of lines that look like columns.
     """
     words = _WORD.findall(text)
-    lower = [w.lower() for w in words]
     lines = [x.strip() for x in text.replace("\r", "\n").split("\n") if x.strip()]
     solid = "".join(text.split())
     n = max(1, len(solid))
-    cjk = len(_CJK.findall(solid))
+    cjk = 0 if solid.isascii() else len(_CJK.findall(solid))
     letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in solid)
-    common = sum(p in COMMON for w in lower for p in re.split(r"['’]", w))
+    digits = len(_DIGIT.findall(solid))
+    read = [word_parts(w) for w in words]
+    common = sum(c for _, c in read)
     return (
         float(np.log1p(len(words) + cjk / 2)),
         min(20.0, letters / max(1, len(words))),
@@ -121,9 +145,11 @@ def statistics(text: str) -> tuple[float, ...]:
         sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
         common / max(1, len(words)),
         float(np.log1p(n / max(1, len(lines)))),
-        len(set(lower)) / max(1, len(words)),
+        len({p for p, _ in read}) / max(1, len(words)),
         sentence_share(text),
         cjk / n,
+        sum(map(bool, map(_MARK.match, lines))) / max(1, len(lines)),
+        sum(map(bool, map(_COLUMNS.search, lines))) / max(1, len(lines)),
     )
 
 
@@ -152,6 +178,8 @@ EXAMPLES = (
     ("junk", "ValveError: 12\n    at openRing (pump/valve.js:12:4)\n    at readHose (pump/hose.js:331:18)\n    at main (app/index.js:7:2)\n    at run (app/run.js:44:9)"),
     ("junk", "00000000  12 ab 34 cd 56 ef 78 90 11 22 33 44 55 66 77 88\n00000010  99 aa bb cc dd ee ff 00 12 23 34 45 56 67 78 89\n00000020  a1 b2 c3 d4 e5 f6 07 18 29 3a 4b 5c 6d 7e 8f 90"),
     ("junk", "pump pump valve pump hose pump valve valve pump hose hose pump valve pump\nvalve pump pump hose valve pump valve pump hose valve pump pump hose"),
+    ("junk", "hose! " * 60),
+    ("junk", "pump, pump, pump, pump, valve, valve, valve, pump, pump, pump, pump, pump, valve, valve, pump, pump, pump, pump, pump, pump, valve, pump, pump."),
     ("junk", "Home > Docs | Search » Log in Home | Next » Previous Docs > Edit page | Search Home » Next > Log in | Docs » Previous"),
     ("junk", "=============================== ???\n********************************* !!!\n------------------------------\n############################ ~~~\n<<<<<<<<<<<<<<<<<<<<<<<<<<<"),
     ("junk", "aGVsbG8gd29ybGQgdGhpcyBpcyBub3QgYSBzZWNyZXQgYXQgYWxsIGJ1dCBieXRlcw0KaGVs\nbG8gd29ybGQgdGhpcyBpcyBub3QgYSBzZWNyZXQgYXQgYWxsIGJ1dCBieXRlcw0KaGVsbG8g"),
@@ -241,10 +269,12 @@ def fit(stats: DataFrame, components: int = COMPONENTS, rounds: int = ROUNDS) ->
         seed = stats.where(F.pmod(F.xxhash64(first, F.lit(29)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(*STATS).limit(2 * SEED_ROWS).toPandas().to_numpy(float)
     else:
         seed = np.empty((0, d))
-    z = (np.vstack([seed, [statistics(t) for _, t in EXAMPLES]]) - centre) / scale
+    shown = (np.array([statistics(t) for _, t in EXAMPLES]) - centre) / scale
+    # one centre where the examples of each class lie, so that no class is without a component to begin with
+    picks = [shown[[name == c for name, _ in EXAMPLES]].mean(0) for c in CLASSES]
+    z = np.vstack([(seed - centre) / scale, shown])
     z = z[np.lexsort(z.T)]
-    picks = [z[rng.integers(len(z))]]
-    for _ in range(components - 1):  # far apart, by squared distance
+    for _ in range(components - len(picks)):  # the rest far apart, by squared distance
         gap = np.min([((z - p) ** 2).sum(1) for p in picks], axis=0)
         picks.append(z[rng.choice(len(z), p=gap / gap.sum())] if gap.sum() > 0 else z[rng.integers(len(z))])
     model = Mixture(np.full(components, 1 / components), np.array(picks), np.array([np.eye(d) * 0.5] * components), centre, scale)
