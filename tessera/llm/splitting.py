@@ -1,8 +1,11 @@
 """Problem 5: oversized items cut at natural boundaries, by packing a structure tree.
 
-A text's lines form a tree: in prose, headings by level and below them list items and paragraphs by indentation; in code and
-markup, every line by its indentation. Sibling subtrees are merged in order up to the limit; only a subtree that exceeds it is
-opened. A single line that exceeds it is cut at the last statement end, else sentence end, else white space or comma.
+A text's lines form a tree: in prose, headings by level (underlined ones, too) and below them list items and paragraphs by
+indentation; in markup, elements by the nesting of their tags; in code, every line by its indentation, closing brackets with
+what they close. The tree is packed from its leaves up: the subtrees of one parent are merged in order while they fit the
+limit, and only a subtree that exceeds it is opened; its pieces stay its own, but for a heading or opening line, which goes
+with what follows it. A single line that exceeds the limit is cut at the last statement end, else sentence end, else white
+space or comma.
 """
 
 from __future__ import annotations
@@ -16,36 +19,57 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP, SLACK = 8000, 200, 50
 PROSE = ("markdown", "text", "rst")
+MARKUP = ("html", "xml", "vue", "svelte", "svg")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
-_HEADING = re.compile(r"(#{1,6})\s|(={3,}|-{3,})\s*$")
+_HEADING = re.compile(r"(#{1,6})\s")
+_UNDERLINE = re.compile(r"(=|-)\1{2,}$")
 _BULLET = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+")
+_TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>")
+#: Elements without an end; fixed values.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CUTS = (re.compile(r"[;{}]\s*"), re.compile(r"[.!?]['\")\]]*\s+|[。！？]"), re.compile(r"[\s,]+"))
 _DEPTH_BASE = 10
 
 
-def line_levels(lines: list[str], prose: bool) -> list[int | None]:
-    """The level of each line; a greater level lies deeper, None (blank lines, lines in a code fence) joins the line before."""
+def line_levels(lines: list[str], kind: str) -> list[int | None]:
+    """The level of each line; a greater level lies deeper, None joins the line before: blank lines, lines in a code fence, the
+    line under an underlined heading, closing brackets."""
     out: list[int | None] = []
     fenced = False
-    for line in lines:
+    nested = 0
+    for i, line in enumerate(lines):
         bare = line.strip()
-        if prose and bare.startswith(("```", "~~~")):
+        if kind == "prose" and bare.startswith(("```", "~~~")):
             out.append(None if fenced else _DEPTH_BASE)
             fenced = not fenced
         elif not bare or fenced:
             out.append(None)
-        elif prose and (m := _HEADING.match(bare)) and m.group(1):
+        elif kind == "markup":
+            tags = [m for m in _TAG.finditer(bare) if not m.group(4) and m.group(2).lower() not in _VOID]
+            closes = bare.startswith("</")
+            out.append(None if closes else _DEPTH_BASE + nested)
+            nested = max(0, nested + sum(-1 if m.group(1) else 1 for m in tags))
+        elif kind == "prose" and (m := _HEADING.match(bare)):
             out.append(len(m.group(1)))
+        elif kind == "prose" and out and out[-1] is not None and out[-1] < _DEPTH_BASE and _UNDERLINE.match(bare):
+            out.append(None)
+        elif kind == "prose" and i + 1 < len(lines) and (m := _UNDERLINE.match(lines[i + 1].strip())) and not _BULLET.match(line) and (i == 0 or not lines[i - 1].strip()):
+            out.append(1 if m.group(1) == "=" else 2)
+        elif kind == "code" and bare[0] in "})]" and out:
+            out.append(None)
         else:
             indent = len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
-            out.append(_DEPTH_BASE + indent + (1 if prose and _BULLET.match(line) else 0))
+            out.append(_DEPTH_BASE + indent + (1 if kind == "prose" and _BULLET.match(line) else 0))
     return out
 
 
-def build_tree(text: str, prose: bool) -> tuple[list[tuple[int, int]], list[int], list[list[int]]]:
-    """(spans, ends, children): node i owns its line ``spans[i]`` and the text up to ``ends[i]``; node 0 is the root."""
+def build_tree(text: str, kind: str) -> tuple[list[tuple[int, int]], list[int], list[list[int]]]:
+    """(spans, ends, children): node i owns its line ``spans[i]`` and the text up to ``ends[i]``; node 0 is the root.
+
+    Nodes are numbered in the order of the text, so children come after their parent.
+    """
     lines = _LINE.findall(text)
-    levels = line_levels(lines, prose)
+    levels = line_levels(lines, kind)
     spans, ends, children = [(0, 0)], [len(text)], [[]]
     stack: list[tuple[int, int]] = [(-1, 0)]
     pos = 0
@@ -89,37 +113,36 @@ def cut_line(text: str, lo: int, hi: int, limit: int) -> list[int]:
     return out
 
 
-def cut_points(text: str, prose: bool, limit: int) -> list[int]:
+def cut_points(text: str, kind: str, limit: int) -> list[int]:
     """Increasing end positions of the pieces' own text; the last is ``len(text)``."""
-    spans, ends, children = build_tree(text, prose)
-    cuts: list[int] = []
-    start = 0
-    todo = [("node", c) for c in reversed(children[0])]
-    while todo:
-        kind, node = todo.pop()
-        if kind == "close":  # an opened subtree ends here: don't mix a fair piece with the next sibling
-            if ends[node] - start > limit // 2 and ends[node] > start:
-                cuts.append(ends[node])
-                start = ends[node]
+    spans, ends, children = build_tree(text, kind)
+    packed: dict[int, list[int]] = {}  # ends of the pieces of each opened node
+    for node in range(len(spans) - 1, -1, -1):
+        lo, line_end = spans[node]
+        if ends[node] - lo <= limit:
             continue
-        lo, hi = (spans[node] if kind == "line" else (spans[node][0], ends[node]))
-        if hi - start <= limit:
-            continue
-        if hi - lo <= limit or kind == "line":
-            if lo > start:
-                cuts.append(lo)
-                start = lo
-            if kind == "line" and hi - lo > limit:
-                inner = cut_line(text, lo, hi, limit)
-                cuts += inner
-                start = inner[-1]
-            continue
-        todo.append(("close", node))
-        todo += [("node", c) for c in reversed(children[node])]
-        todo.append(("line", node))
-    if len(text) > start:
-        cuts.append(len(text))
-    return cuts
+        done: list[int] = []  # ends of closed pieces
+        start, end, joins = lo, lo, False  # the open piece, and whether a whole subtree may still join it
+        heads = True  # the open piece is the node's own line alone
+        if line_end - lo > limit:
+            *done, end = cut_line(text, lo, line_end, limit) + [line_end]
+            start = done[-1] if done else lo
+            joins = True
+        elif line_end > lo:
+            end, joins = line_end, True
+        for child in children[node]:
+            inner = packed.pop(child, None)
+            for n, to in enumerate(inner or [ends[child]]):
+                if end > start and (to - start > limit or not joins or (inner and (n or not heads))):
+                    done.append(end)
+                    start = end
+                end = to
+                joins = inner is None
+            heads = False
+        if end > start:
+            done.append(end)
+        packed[node] = done
+    return packed.get(0, [len(text)] if text else [])
 
 
 def overlap_start(text: str, end: int, overlap: int = OVERLAP, slack: int = SLACK) -> int:
@@ -131,16 +154,24 @@ def overlap_start(text: str, end: int, overlap: int = OVERLAP, slack: int = SLAC
     return min(near, key=lambda p: abs(p - want)) if near else want
 
 
-def split_text(text: str, prose: bool = False, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+def split_text(text: str, kind: str = "code", limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(overlap_from, start, end) of each piece; a piece's text is ``text[overlap_from:end]``, its own part ``text[start:end]``."""
     slack = min(SLACK, overlap // 4)
     out, start = [], 0
-    for end in cut_points(text, prose, limit - overlap - slack):
+    for end in cut_points(text, kind, limit - overlap - slack):
         out.append((overlap_start(text, start, overlap, slack) if start else 0, start, end))
         start = end
     return out
 
 
+def form(language: str | None, chunk_type: str | None, path: str | None) -> str:
+    """How a chunk is read: prose, markup or code."""
+    name, base = (language or "").strip().lower(), (path or "").lower()
+    if name in MARKUP or base.endswith(tuple("." + m for m in MARKUP)):
+        return "markup"
+    return "prose" if name in PROSE or chunk_type == "section" or base.endswith((".md", ".rst", ".txt")) else "code"
+
+
 def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the chunks longer than ``limit`` code points, one row a piece.
 
@@ -153,8 +184,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
         for batch in batches:
             rows = []
             for cid, kind, lang, path, first, text in zip(batch["chunk_id"], batch["chunk_type"], batch["language"], batch["file_path"], batch["line_start"], batch["content"]):
-                prose = (lang or "").strip().lower() in PROSE or kind == "section" or (path or "").lower().endswith((".md", ".rst", ".txt"))
-                pieces = split_text(text, prose, limit, overlap)
+                pieces = split_text(text, form(lang, kind, path), limit, overlap)
                 base = 1 if pd.isna(first) else int(first)
                 line, at = base, 0
                 for no, (over, start, end) in enumerate(pieces, 1):

@@ -59,13 +59,25 @@ def test_scanner_never_fails(text):
 
 
 @settings(max_examples=120, deadline=None)
-@given(st.text(alphabet="ab. ;{}\n\r\t#-é漢", max_size=1500), st.integers(60, 200), st.booleans())
-def test_split_round_trip(text, limit, prose):
-    pieces = splitting.split_text(text, prose, limit, 20)
+@given(st.text(alphabet="ab. ;{}\n\r\t#-é漢", max_size=1500), st.integers(60, 200), st.sampled_from(["prose", "markup", "code"]))
+def test_split_round_trip(text, limit, kind):
+    pieces = splitting.split_text(text, kind, limit, 20)
     assert "".join(text[s:e] for _, s, e in pieces) == text
     assert all(e - o <= limit and o <= s < e for o, s, e in pieces)
 
 
+def test_split_structure():
+    """Subtrees stay whole while they fit; headings go with what follows; underlined headings and tags count."""
+    cuts = lambda text, kind, limit: [text[a:b] for a, b in zip([0, *splitting.cut_points(text, kind, limit)], splitting.cut_points(text, kind, limit))]
+    doc = "One\n===\n\n" + "a b\n" * 4 + "\nTwo\n---\n\n" + "c d\n" * 4 + "\nThree\n===\n\n" + "e f\n" * 4
+    assert [p.split("\n")[0] for p in cuts(doc, "prose", 30)] == ["One", "Two", "Three"]
+    assert [p.split("\n")[0] for p in cuts(doc, "prose", 60)] == ["One", "Three"]
+    page = "<ul>\n" + "".join(f"<li>\n<b>item {i}</b>\n</li>\n" for i in range(6)) + "</ul>\n"
+    assert all(p.count("<li>") == p.count("</li>") for p in cuts(page, "markup", 60)) and len(cuts(page, "markup", 60)) == 3
+    code = "".join(f"void f{i}() {{\n    a();\n    b();\n}}\n" for i in range(6))
+    assert all(p.count("{") == p.count("}") for p in cuts(code, "code", 80)) and len(cuts(code, "code", 80)) == 3
+
+
 def test_split_rows(spark):
     schema = "chunk_id string, chunk_type string, language string, file_path string, line_start int, content string, piece_no string"
     body = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(600))
