@@ -27,6 +27,8 @@ DIM = 64
 SAMPLE = 20_000
 SHARD = 100_000
 LEAF = 192
+#: Visiting queries of a shard in one task; a shard with more is searched by several tasks, each with all of its points.
+QUERY_BLOCK = 65_536
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
@@ -262,8 +264,11 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float | None = 0
     if queries is not None:
         ids = classes.select("cls", F.explode("ids").alias(key)).join(queries.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_semi")
         asking = asking.join(ids.select("cls").distinct(), "cls", "left_semi")
-    stored = classes.select("cls", "vec").mapInPandas(route(0.0, 0), schema)
-    visits = asking.select("cls", "vec").mapInPandas(route(slack, 1), schema)
+    asks = total if queries is None else asking.count()
+    salts = max(1, -(-3 * asks // (2 * shards * QUERY_BLOCK)))
+    mine = F.pmod(F.xxhash64("cls", F.lit(13)), F.lit(salts)).cast("int")
+    stored = classes.select("cls", "vec").mapInPandas(route(0.0, 0), schema).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    visits = asking.select("cls", "vec").mapInPandas(route(slack, 1), schema).withColumn("salt", mine)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy() == 1
@@ -281,10 +286,10 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float | None = 0
 
     found = "cls string, near string, sim double"
     if least is None and top.value.depth:  # the own shard first; a shard with fewer than k others leaves the radius open
-        kth = stored.union(visits).groupBy("shard").applyInPandas(search, found).groupBy("cls").agg(F.when(F.count("*") >= k, F.min("sim")).alias("floor"))
+        kth = stored.union(visits).groupBy("shard", "salt").applyInPandas(search, found).groupBy("cls").agg(F.when(F.count("*") >= k, F.min("sim")).alias("floor"))
         known = stage(asking.select("cls", "vec").join(kth, "cls", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)) - 1e-4), "radius")
-        visits = known.mapInPandas(route(0.0, 1, True), schema)
-    met = stored.union(visits).groupBy("shard").applyInPandas(search, found)
+        visits = known.mapInPandas(route(0.0, 1, True), schema).withColumn("salt", mine)
+    met = stored.union(visits).groupBy("shard", "salt").applyInPandas(search, found)
     return expand(classes, met, vectors, key, k, queries)
 
 

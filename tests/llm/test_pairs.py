@@ -89,7 +89,7 @@ def vectors(spark, seed=1):
     return rows, spark.createDataFrame([(k, v, "x") for k, v in rows + rows[:5] + bad], "id string, embedding array<float>, vec string")
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rows, df = vectors(spark)
     v = neighbours.usable(df, "id", "embedding")
     assert v.count() == len(rows)
@@ -103,6 +103,8 @@ def test_neighbours(spark):
         want |= {(k, ids[j]) for j in order if s[i, j] >= 0.9}
     exact = {(r.id, r.other) for r in neighbours.neighbours(v, "id", relax=1.0, shard_rows=80).collect()}
     assert exact == want
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 20)  # several tasks a shard
+    assert {(r.id, r.other) for r in neighbours.neighbours(v, "id", relax=1.0, shard_rows=80).collect()} == want
     loose = {(r.id, r.other) for r in neighbours.neighbours(v, "id", shard_rows=80).collect()}
     assert len(loose & want) >= 0.9 * len(want)
     assert neighbours.neighbours(neighbours.usable(df.limit(0), "id", "embedding"), "id").count() == 0
