@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm import credentials, history, leaks, mixing, neardup, neighbours, origin, quality, splitting
+from tessera.llm import credentials, history, leaks, mixing, neardup, neighbours, origin, quality, splitting, statements
 from tessera.session import stage, table, union_all
 
 
@@ -68,6 +69,19 @@ def p5_found(spark, d):
     return p5_pieces(spark, d).where("piece_no = 1 and n_pieces > 1").select("chunk_id")
 
 
+def p5_restored(spark, d):
+    """The operator checked on its own output: the pieces without their overlaps, joined, and their lengths and line numbers."""
+    w = Window.partitionBy("chunk_id").orderBy("piece_no")
+    own = F.substring("content", F.col("overlap_chars") + 1, F.length("content"))
+    last = F.size(F.split("content", "\n")) - 1 - F.when(F.col("content").endswith("\n"), 1).otherwise(0)
+    again = F.lag("line_end").over(w) + 1 - F.size(F.split(F.substring("content", 1, F.col("overlap_chars")), "\n")) + 1
+    amiss = (F.col("line_end") != F.col("line_start") + last) | (F.abs(F.col("line_start") - again) > 1)
+    p = p5_pieces(spark, d).withColumns({"own": own, "amiss": F.coalesce(amiss, F.lit(False))})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")
+    g = p.groupBy("chunk_id").agg(F.sha2(text, 256).alias("restored"), F.min("line_start").alias("first_line"), (F.max(F.length("content")) > splitting.LIMIT).alias("too_long"), F.bool_or("amiss").alias("lines_amiss"))
+    return g
+
+
 def p7_origins(spark, d):
     return origin.origins(table(spark, d, "code_chunks"))
 
@@ -92,6 +106,16 @@ def p9_report(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_bounds(spark, d):
+    """The operator checked on its own output: no source above its budget, no document too often, no shortfall where text is left."""
+    docs, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    most = table(spark, d, "mix_targets").select(mixing.norm_source(F.col("source")).alias("source"), "max_repeats").dropDuplicates(["source"])
+    often = docs.join(most, "source").groupBy("source").agg(F.max(F.col("copies") + (F.col("cut_tokens") > 0).cast("int") - F.col("max_repeats")).alias("over"))
+    r = report.join(most, "source").join(often, "source", "left")
+    short = (F.col("shortfall") != 0) & (F.col("used") != F.col("available") * F.col("max_repeats"))
+    return r.select("source", (F.col("used") > F.col("budget")).alias("over_budget"), (F.coalesce("over", F.lit(0)) > 0).alias("too_often"), short.alias("short_without_cause"))
+
+
 def p6_found(spark, d):
     return history.replay(table(spark, d, "code_chunks"), table(spark, d, "ingest_runs")).where("turned_away").select("chunk_id")
 
@@ -111,11 +135,8 @@ def p10_found(spark, d):
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_origins": p7_origins, "p8_found": p8_found, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_stats": p10_stats}
-
-
-P5_FOUND = "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 8000"
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_restored": p5_restored, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_origins": p7_origins, "p8_found": p8_found, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p9_bounds": p9_bounds, "p10_found": p10_found, "p10_stats": p10_stats}
 
 
 def oracle_sql():
-    return {"p5_found": P5_FOUND}
+    return {k: v for k in queries() if isinstance(v := getattr(statements, k.upper(), None), str)}

@@ -255,8 +255,12 @@ class SignatureForest:
             middle = middle if middle < high else high - 1
             return self._accept(rows, texts, low, middle, False) + self._accept(rows, texts, middle + 1, high, False)
         met = met.where("depth > 0")
-        classes = self._read("texts", TEXTS).where("blob is not null").select("cls", "c8", "n", "blob")
         here = open_.where("cls is not null").select("cls", "c8").distinct()
+        # the sets that can be compared at all: one pass over the texts for all rounds
+        met = stage(met.join(here.select(F.col("c8").alias("a")), "a", "left_semi").join(here.select(F.col("c8").alias("b"), F.lit(1).alias("new")), "b", "left").where("old = 1 or new = 1").select("a", "b", "depth", "old"), "comparable")
+        ids = met.select(F.col("a").alias("c8")).union(met.select(F.col("b").alias("c8"))).distinct()
+        classes = self._read("texts", TEXTS).where("blob is not null").select("cls", "c8", "n", "blob")
+        classes = stage(classes.join(ids, "c8", "left_semi").dropDuplicates(["cls"]), "sets")
         # against the history: the longest common prefixes first, wider ranges for those that found nothing
         away = None
         if known is not None:

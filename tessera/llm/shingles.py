@@ -147,7 +147,8 @@ def verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     ids = pairs.select(F.col("a").alias("c8")).union(pairs.select(F.col("b").alias("c8"))).distinct()
     sub = stage(classes.select("cls", "c8", "blob").join(ids, "c8", "left_semi").dropDuplicates(["cls"]), "verify")
     sim = F.pandas_udf(blob_jaccard, DoubleType())
-    left = sub.select(F.col("c8").alias("a"), F.col("cls").alias("cls_a"), F.col("blob").alias("blob_a"))
-    right = sub.select(F.col("c8").alias("b"), F.col("cls").alias("cls_b"), F.col("blob").alias("blob_b"))
+    # sets are never broadcast, so that the plan is the same at every size
+    left = sub.select(F.col("c8").alias("a"), F.col("cls").alias("cls_a"), F.col("blob").alias("blob_a")).hint("merge")
+    right = sub.select(F.col("c8").alias("b"), F.col("cls").alias("cls_b"), F.col("blob").alias("blob_b")).hint("merge")
     met = pairs.join(left, "a").join(right, "b").withColumn("sim", sim("blob_a", "blob_b")).where(F.col("sim") >= threshold - 1e-12)
     return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), "sim").where("a < b")
