@@ -12,14 +12,18 @@ from tessera.sources import files as sources
 
 
 class CodeIndex:
-    """``build`` reads a tree; ``save`` and ``load`` keep files, symbols and chunks as Parquet tables."""
+    """``build`` reads a tree; ``save`` keeps files, symbols and chunks as Parquet tables, ``load`` reads files and symbols."""
 
     def __init__(self, spark: SparkSession, root: str, extra_excludes: tuple[str, ...] = ()):
         self.spark, self.root, self.excludes = spark, root, extra_excludes
         self.files: DataFrame | None = None
         self.symbols: DataFrame | None = None
+        self.loaded = False
 
-    def build(self) -> CodeIndex:
+    def build(self, index_time=None) -> CodeIndex:
+        """Read the tree, unless an index is held that no file is newer than."""
+        if index_time is not None and self.files is not None and sources.is_fresh(sources.listing(self.spark, self.root, self.excludes), index_time):
+            return self
         self.files = sources.read_tree(self.spark, self.root, self.excludes).cache()
         self.symbols = symbols.symbols(self.files)
         return self
@@ -29,9 +33,11 @@ class CodeIndex:
     def save(self, path: str) -> None:
         self.files.write.mode("overwrite").parquet(f"{path}/files")
         self.symbols.write.mode("overwrite").parquet(f"{path}/symbols")
+        self.chunks().write.mode("overwrite").parquet(f"{path}/chunks")
 
     def load(self, path: str) -> CodeIndex:
         self.files, self.symbols = self.spark.read.parquet(f"{path}/files"), self.spark.read.parquet(f"{path}/symbols")
+        self.loaded = True
         return self
 
     def clear(self) -> None:
@@ -39,15 +45,29 @@ class CodeIndex:
             self.files.unpersist()
         self.files = self.symbols = None
 
-    def find_files(self, pattern: str) -> list[str]:
+    def find_files(self, pattern: str, max_results: int | None = None) -> list[str]:
+        """Paths in order, at most ``max_results`` where given; use :meth:`matching_files` for a table of them."""
+        found = self.matching_files(pattern).orderBy("path")
+        return [r.path for r in (found.limit(max_results) if max_results and max_results > 0 else found).toLocalIterator()]
+
+    def matching_files(self, pattern: str = "*", languages: tuple[str, ...] = (), directories: tuple[str, ...] = (), excludes: tuple[str, ...] = ()) -> DataFrame:
+        """(path) of the files that fit a glob, a language, a directory pattern and no exclude pattern; what is not given takes all."""
         text.validate_glob(pattern)
-        return [r.path for r in self.files.where(paths.glob_match(F.col("path"), pattern)).select("path").orderBy("path").collect()]
+        p = F.col("path")
+        keep = paths.glob_match(p, pattern) & paths.of_language(paths.file_language(p), list(languages)) & paths.in_directories(p, list(directories))
+        return self.files.where(keep & paths.not_matching(p, list(excludes))).select("path")
 
     def search_code_advanced(self, pattern: str, **options) -> DataFrame:
         return lexical.search(self.files, pattern, **options)
 
     def get_file_summary(self, file_path: str) -> DataFrame:
-        return symbols.file_summary(self.symbols.where(F.col("file") == file_path))
+        """One row: line count, language, imports, exports, package, and the symbols in line order; only this file is parsed."""
+        one = self.files.where(F.col("path") == paths.normalise(F.lit(file_path.strip())))
+        syms = self.symbols.where(F.col("file") == file_path) if self.loaded else symbols.symbols(one)
+        return symbols.file_details(one).join(symbols.file_summary(syms).withColumnRenamed("file", "path"), "path", "left")
+
+    def status(self) -> dict:
+        return symbols.rebuild_status(self.root, self.files, self.symbols)
 
     def chunks(self, strategy: str = "function") -> DataFrame:
         return chunking.chunk_files(self.files, strategy)

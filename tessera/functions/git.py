@@ -13,11 +13,17 @@ def parse_url(url: Column) -> Column:
     """struct(host, owner, repo, platform, normalized_url); null for what is no repository URL."""
     u = F.regexp_replace(F.regexp_replace(F.trim(url), "/+$", ""), r"^git@([^:]+):", "https://$1/")
     host, owner, repo = (F.regexp_extract(u, _URL, i) for i in (1, 2, 3))
-    platform = F.when(host == "github.com", "github").when(host == "gitlab.com", "gitlab").otherwise("gitea")
+    platform = F.when(host == "github.com", "github").when(host == "gitlab.com", "gitlab").when(host == "bitbucket.org", "bitbucket").otherwise("gitea")
     whole = F.concat(F.lit("https://"), host, F.lit("/"), owner, F.lit("/"), repo, F.lit(".git"))
     return F.when(u.rlike(_URL), F.struct(host.alias("host"), owner.alias("owner"), repo.alias("repo"), platform.alias("platform"), whole.alias("normalized_url")))
 
 
+def clone_path(url: Column, root: str) -> Column:
+    """Where a repository is cloned to: root/platform/owner/repo."""
+    u = parse_url(url)
+    return F.concat_ws("/", F.lit(root.rstrip("/")), u["platform"], u["owner"], u["repo"])
+
+
 def with_token(url: Column, token: Column) -> Column:
     """The URL with a token in it; never persist the result."""
     return F.regexp_replace(url, r"^(https?://)", F.concat(F.lit("$1"), token, F.lit("@")))

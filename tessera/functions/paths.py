@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 from functools import reduce
 
@@ -14,18 +15,38 @@ EXCLUDED_DIRECTORIES = (
     ".idea", ".vscode", ".vs", ".sublime-workspace", ".pytest_cache", ".coverage", ".tox", ".nyc_output", "coverage", "htmlcov", ".DS_Store", "Thumbs.db", "desktop.ini",
 )
 EXCLUDED_FILES = ("*.tmp", "*.temp", "*.swp", "*.swo", "*.bak", "*~", "*.orig", "*.log", "package-lock.json", "yarn.lock", "Pipfile.lock")
-SUPPORTED_EXTENSIONS = tuple(
-    "." + e
-    for e in (
-        "py pyw js jsx ts tsx mjs cjs java c cpp h hpp cxx cc hxx hh cs go m mm rb php swift kt kts rs scala sh bash zsh ps1 bat cmd r R pl pm lua dart hs ml mli fs fsx clj cljs vim zig zon "
-        "html htm css scss sass less stylus styl md mdx json jsonc xml yml yaml vue svelte astro hbs handlebars ejs pug sql ddl dml mysql postgresql psql sqlite mssql oracle ora db2 proc procedure "
-        "func function view trigger index migration seed fixture schema cql cypher sparql gql liquibase flyway"
-    ).split()
-)
+SUPPORTED_EXTENSIONS = (
+    ".py", ".pyw", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".java", ".c", ".cpp", ".h", ".hpp", ".cxx", ".cc", ".hxx", ".hh", ".cs", ".go", ".m", ".mm", ".rb", ".php", ".swift",
+    ".kt", ".kts", ".rs", ".scala", ".sh", ".bash", ".zsh", ".ps1", ".bat", ".cmd", ".r", ".R", ".pl", ".pm", ".lua", ".dart", ".hs", ".ml", ".mli", ".fs", ".fsx", ".clj", ".cljs", ".vim",
+    ".zig", ".zon", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".stylus", ".styl", ".md", ".mdx", ".json", ".jsonc", ".xml", ".yml", ".yaml", ".vue", ".svelte", ".astro", ".hbs",
+    ".handlebars", ".ejs", ".pug", ".sql", ".ddl", ".dml", ".mysql", ".postgresql", ".psql", ".sqlite", ".mssql", ".oracle", ".ora", ".db2", ".proc", ".procedure", ".func", ".function",
+    ".view", ".trigger", ".index", ".migration", ".seed", ".fixture", ".schema", ".cql", ".cypher", ".sparql", ".gql", ".liquibase", ".flyway",
+)
 CHUNK_LANGUAGES = {
     ".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp", ".rs": "rust", ".rb": "ruby", ".php": "php",
     ".swift": "swift", ".kt": "kotlin", ".m": "objective-c", ".zig": "zig", ".md": "markdown", ".txt": "text", ".rst": "restructuredtext", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".toml": "toml",
 }
+#: Languages of the file tools.
+FILE_LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".cpp": "cpp", ".cxx": "cpp", ".cc": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp", ".hxx": "cpp",
+    ".cs": "csharp", ".go": "go", ".rs": "rust", ".php": "php", ".rb": "ruby", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".m": "objc", ".mm": "objc", ".html": "html", ".htm": "html", ".css": "css", ".scss": "scss",
+    ".sass": "sass", ".less": "less", ".json": "json", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml", ".md": "markdown", ".txt": "text", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".fish": "shell", ".ps1": "powershell",
+    ".bat": "batch", ".cmd": "batch",
+}
+#: Extensions with a parser of their own.
+PARSER_LANGUAGES = {
+    ".py": "python", ".pyw": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".m": "objective-c", ".mm": "objective-c",
+    ".zig": "zig", ".zon": "zig",
+}
+#: Languages of the files without one, by language.
+FALLBACK_EXTENSIONS = {
+    "html": ".html .htm", "css": ".css .scss .sass .less .stylus .styl", "markdown": ".md .mdx", "json": ".json .jsonc", "xml": ".xml", "yaml": ".yml .yaml", "vue": ".vue", "svelte": ".svelte", "astro": ".astro",
+    "handlebars": ".hbs .handlebars", "ejs": ".ejs", "pug": ".pug",
+    "sql": ".sql .ddl .dml .mysql .postgresql .psql .sqlite .mssql .oracle .ora .db2 .proc .procedure .func .function .view .trigger .index .migration .seed .fixture .schema .cql .cypher .sparql .liquibase .flyway",
+    "graphql": ".gql", "text": ".txt", "config": ".ini .cfg .conf .toml .properties .env .gitignore .dockerignore .editorconfig", "c": ".c", "cpp": ".cpp .cxx .cc", "h": ".h", "hpp": ".hpp .hxx .hh", "csharp": ".cs", "ruby": ".rb",
+    "php": ".php", "swift": ".swift", "kotlin": ".kt .kts", "rust": ".rs", "scala": ".scala", "shell": ".sh .bash .zsh", "powershell": ".ps1", "batch": ".bat .cmd", "r": ".r .R", "perl": ".pl .pm", "lua": ".lua", "dart": ".dart",
+    "haskell": ".hs", "ocaml": ".ml .mli", "fsharp": ".fs .fsx", "clojure": ".clj .cljs", "vim": ".vim",
+}
 INGEST_PATTERNS = ("*.py", "*.js", "*.ts", "*.java", "*.go")
 SIZE_LIMITS = ((1024, "tiny"), (10 * 1024, "small"), (100 * 1024, "medium"), (1024 * 1024, "large"))
 
@@ -119,8 +140,7 @@ def excluded_directory(name: Column, extra: tuple[str, ...] = ()) -> Column:
 
 def excluded_file(path: Column) -> Column:
     name = basename(path)
-    supported = extension(path).isin(*sorted({e.lower() for e in SUPPORTED_EXTENSIONS}))
-    return ~supported | (name.startswith(".") & ~name.isin(".env", ".gitignore")) | any_of([name.rlike(fnmatch_regex(p)) for p in EXCLUDED_FILES])
+    return ~supported(path) | (name.startswith(".") & ~name.isin(".env", ".gitignore")) | any_of([name.rlike(fnmatch_regex(p)) for p in EXCLUDED_FILES])
 
 
 def admitted(path: Column, extra: tuple[str, ...] = ()) -> Column:
@@ -144,6 +164,60 @@ def language(path: Column) -> Column:
     return lookup(extension(path), CHUNK_LANGUAGES, "unknown")
 
 
+def file_language(path: Column) -> Column:
+    """The language the file tools name."""
+    return lookup(extension(path), FILE_LANGUAGES, "unknown")
+
+
+def parser_language(path: Column) -> Column:
+    """The language whose parser reads the file, else its fallback language, else unknown."""
+    fallback = {e: name for name, all_ in FALLBACK_EXTENSIONS.items() for e in all_.split()}
+    return lookup(extension(path), fallback | PARSER_LANGUAGES, "unknown")
+
+
+def supported(path: Column) -> Column:
+    """The lower-cased extension is one of the supported ones, nothing else counts."""
+    return extension(path).isin(*sorted({e.lower() for e in SUPPORTED_EXTENSIONS}))
+
+
+def of_language(language: Column, names: list[str]) -> Column:
+    """Membership ignoring case; an empty list takes all."""
+    return F.lower(language).isin(*[n.lower() for n in names]) if names else F.lit(True)
+
+
+def in_directories(path: Column, patterns: list[str]) -> Column:
+    """Some shell pattern fits the parent directory ("." at the root); an empty list takes all."""
+    folder = F.when(parent(path) == "", ".").otherwise(parent(path))
+    return any_of([folder.rlike(fnmatch_regex(p)) for p in patterns]) if patterns else F.lit(True)
+
+
+def not_matching(path: Column, patterns: list[str]) -> Column:
+    """No pattern fits the whole path or the plain name."""
+    return ~matches_any(path, patterns)
+
+
+def content_type(path: Column) -> Column:
+    """Media type by extension from Python's own table, application/octet-stream for the rest."""
+    known = {e.lower(): t for e in (*SUPPORTED_EXTENSIONS, *FILE_LANGUAGES) if (t := mimetypes.guess_type(f"x{e}")[0])}
+    return lookup(extension(path), known, "application/octet-stream")
+
+
+def namespaced(path: Column, user: Column, project: Column) -> Column:
+    """users/{user}/{project}/{path}; leading slashes of the path are cut off."""
+    return F.concat(F.lit("users/"), user, F.lit("/"), project, F.lit("/"), F.regexp_replace(path, "^/+", ""))
+
+
+def namespace_user(path: Column) -> Column:
+    """The user of a namespaced path, null for another path."""
+    return F.when(path.rlike("^users/[^/]+"), F.split(path, "/")[1])
+
+
+def exclude_summary(extra: tuple[str, ...] = ()) -> dict:
+    """What the admission rules leave out, sorted, with counts."""
+    directories = sorted({*EXCLUDED_DIRECTORIES, *extra})
+    return {"exclude_directories_count": len(directories), "exclude_files_count": len(EXCLUDED_FILES), "supported_extensions_count": len(SUPPORTED_EXTENSIONS), "exclude_directories": directories, "exclude_files": sorted(EXCLUDED_FILES)}
+
+
 def size_category(length: Column) -> Column:
     out = F
     for limit, name in SIZE_LIMITS:
@@ -152,9 +226,10 @@ def size_category(length: Column) -> Column:
 
 
 def relevance(path: Column, query: str) -> Column:
-    """100 for the exact name, 50 for a prefix, 25 for a part, and up to 10 for a shallow path."""
-    name, q = F.lower(basename(path)), query.lower()
-    score = F.when(name == q, 100).when(name.startswith(q), 50).when(name.contains(q), 25).otherwise(0)
+    """100 for the exact name, 50 for a prefix, 25 for a part, and up to 10 for a shallow path; case counts, and stars of the
+    query are left out but for the exact name."""
+    name, q = basename(path), query.replace("*", "")
+    score = F.when(name == query, 100).when(name.startswith(q), 50).when(name.contains(q), 25).otherwise(0)
     return score + F.greatest(F.lit(0), F.lit(10) - depth(path))
 
 

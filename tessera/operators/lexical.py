@@ -7,16 +7,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import paths, text
 
 
-def lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, line_no from 1, line); null contents give no row. Lines end at "\\n", a trailing "\\r" is cut off."""
+def line_array(content: str) -> Column:
+    """The lines of a text column: they end at "\\n", a trailing "\\r" is cut off."""
     body = F.when(F.col(content).endswith("\n"), F.expr(f"substring({content}, 1, length({content}) - 1)")).otherwise(F.col(content))
-    rows = files.where(F.col(content).isNotNull() & (F.col(content) != "")).select(F.col(path).alias("path"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
-    return rows.select("path", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+    return F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(x, "\r$", ""))
+
+
+def lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, line_no from 1, line); null and empty contents give no row."""
+    rows = files.where(F.col(content).isNotNull() & (F.col(content) != "")).select(F.col(path).alias("path"), F.posexplode(line_array(content)).alias("pos", "line"))
+    return rows.select("path", (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def predicate(line: Column, pattern: str, case_sensitive: bool = True, fuzzy: bool = False, regex: bool | None = None) -> Column:
@@ -32,20 +36,22 @@ def predicate(line: Column, pattern: str, case_sensitive: bool = True, fuzzy: bo
 def search(files: DataFrame, pattern: str, case_sensitive: bool = True, context_lines: int = 0, file_pattern: str | None = None, fuzzy: bool = False, regex: bool | None = None, max_line_length: int | None = None, path: str = "path", content: str = "content") -> DataFrame:
     """(path, line_no, line[, is_match]): hits, with merged context windows where asked for. ValueError for a bad pattern.
 
-    Without context the predicate is also tested on the whole text, so files without a hit are never split into lines.
+    A plain pattern is also tested on the whole text first, so files without it are never split into lines.
     """
     rx = text.looks_like_regex(pattern) if regex is None else regex
     src = files.where(paths.file_pattern(F.col(path), file_pattern))
     if not rx and not fuzzy:
         src = src.where(predicate(F.col(content), pattern, case_sensitive, fuzzy, regex))
-    ls = lines(src, path, content)
-    hit = predicate(F.col("line"), pattern, case_sensitive, fuzzy, regex)
     out = text.truncate(F.col("line"), max_line_length).alias("line")
     if context_lines <= 0:
-        return ls.where(hit).select("path", "line_no", out)
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(-context_lines, context_lines)
-    marked = ls.withColumn("is_match", F.coalesce(hit, F.lit(False))).withColumn("near", F.max("is_match").over(w))
-    return marked.where("near").select("path", "line_no", out, "is_match")
+        return lines(src, path, content).where(predicate(F.col("line"), pattern, case_sensitive, fuzzy, regex)).select("path", "line_no", out)
+    # the lines of a text are in one row already: mark the hits in the array and look around them, nothing is shuffled
+    whole = src.where(F.col(content).isNotNull() & (F.col(content) != "")).select(F.col(path).alias("path"), line_array(content).alias("ls"))
+    marked = whole.withColumn("hits", F.transform("ls", lambda x: F.coalesce(predicate(x, pattern, case_sensitive, fuzzy, regex), F.lit(False)))).where(F.exists("hits", lambda h: h))
+    rows = marked.select("path", "hits", F.posexplode("ls").alias("pos", "line"))
+    first = F.greatest(F.col("pos") + 1 - context_lines, F.lit(1))
+    near = F.array_contains(F.slice("hits", first, F.col("pos") + 2 + context_lines - first), True)
+    return rows.where(near).select("path", (F.col("pos") + 1).alias("line_no"), out, F.get("hits", F.col("pos")).alias("is_match"))
 
 
 def approximate(files: DataFrame, word: str, distance: int = 1, path: str = "path", content: str = "content") -> DataFrame:

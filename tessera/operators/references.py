@@ -1,8 +1,8 @@
 """References to records that do not exist.
 
 References and parent keys are co-partitioned by key and sorted together, parents first; one linear pass hands each reference
-the validity interval of its parent. Hot keys are split: a reference goes to one of ``SALTS`` partitions of its key and every
-parent row is repeated once per salt, so no task receives all references of one key.
+the validity interval of its parent. Hot keys are split: a reference goes to one of as many partitions of its key as the
+session has shuffle partitions, and every parent row is repeated once for each, so no task receives all references of a key.
 """
 
 from __future__ import annotations
@@ -13,25 +13,26 @@ from pyspark.sql.window import Window
 
 from tessera.session import norm_key, union_all
 
-SALTS = 8
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """References without a valid parent, with ``reason``: missing, deleted or late.
+    """References without a valid parent, with ``reason``: missing, deleted (before the reference was made, or
+    one of both times is unknown), deleted_later (afterwards) or late.
 
     ``refs``: (table_name, record_id, field_name, target, ref_key, at); ``parents``: (target, ref_key, valid_from, deleted_at),
     valid_from null for a key that is only known as deleted. A reference is late if its parent began after ``at``; a null
     ``at`` or valid_from tells nothing, so such a reference counts as good where the parent has a row. Repeated references
     (same record, field and key) count once; null keys must be dropped before.
     """
-    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")
+    salts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")
     left = refs.groupBy("table_name", "record_id", "field_name", "target", "ref_key").agg(F.min("at").alias("at")).withColumn("salt", salt).withColumn("is_ref", F.lit(1))
     one = parents.groupBy("target", "ref_key").agg(F.min("valid_from").alias("valid_from"), F.max("deleted_at").alias("deleted_at"), F.max("has_row").alias("has_row"))
-    right = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("is_ref", F.lit(0))
+    right = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("is_ref", F.lit(0))
     both = left.unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy("target", "ref_key", "salt").orderBy("is_ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in ("valid_from", "deleted_at", "has_row")}).where("is_ref = 1")
-    reason = F.when(F.coalesce("has_row", F.lit(0)) == 0, F.when(F.col("deleted_at").isNotNull(), "deleted").otherwise("missing")).when(F.col("valid_from") > F.col("at"), "late")
+    reason = F.when(F.coalesce("has_row", F.lit(0)) == 0, F.when(F.col("deleted_at") >= F.col("at"), "deleted_later").when(F.col("deleted_at").isNotNull(), "deleted").otherwise("missing")).when(F.col("valid_from") > F.col("at"), "late")
     return seen.withColumn("reason", reason).where("reason is not null").select("table_name", "record_id", "field_name", "ref_key", F.date_format("at", "yyyy-MM").alias("period"), "reason")
 
 

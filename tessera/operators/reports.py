@@ -114,6 +114,14 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all([df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()])
 
 
+def idle_report(files: DataFrame, owner: str, at: str, now: Column, max_days: int, dry_run: bool = True) -> DataFrame:
+    """(scanned, idle, deleted, skipped), one row: owners with a time, idle ones, those to delete (none in a dry run), owners without any time."""
+    last = files.groupBy(owner).agg(F.max(at).alias("last"))
+    old = F.col("last") < now - F.make_dt_interval(F.lit(max_days))
+    n = last.agg(F.count("last").alias("scanned"), F.count_if(old).alias("idle"), F.count_if(F.col("last").isNull()).alias("skipped"))
+    return n.select("scanned", "idle", (F.lit(0).cast("bigint") if dry_run else F.col("idle")).alias("deleted"), "skipped")
+
+
 def idle(files: DataFrame, owner: str, at: str, now: Column, max_days: int) -> DataFrame:
     """Owners whose newest file is older than ``max_days``, with whole idle days."""
     last = files.groupBy(owner).agg(F.max(at).alias("last_update"), F.count("*").alias("n_files"))

@@ -21,7 +21,11 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows of ``new`` that an insert with "on conflict do nothing" adds; null keys conflict with nothing."""
-    return first_wins(new, keys, order).join(existing.select(*keys).distinct(), keys, "left_anti")
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    kept = first_wins(new.where(whole), keys, order).join(existing.select(*keys).distinct(), keys, "left_anti")
+    return kept.select(*new.columns).unionByName(new.where(~whole))
 
 
 def insert_counts(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
@@ -54,24 +54,24 @@ DOCUMENT_LANGUAGES = ("markdown", "text", "restructuredtext", "yaml", "json", "t
 def python_symbols(path: str, source: str) -> list[tuple]:
     """Functions, classes and methods of a Python file; ``called_by`` names callers in the same file.
 
-    A call resolves to a symbol met before it: by name, else by the last part of a method's name. Coroutines, and functions
-    inside methods, are no symbols; classes have no callers.
+    A call resolves to what its name meant last among the symbols met before it: a method is known by its own name, too, and
+    hides an earlier function of that name. Coroutines, and functions inside methods, are no symbols; classes have no callers.
     """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
         return []
     found: dict[str, dict] = {}
+    meant: dict[str, dict] = {}
 
     def add(name: str, kind: str, node, signature: str | None) -> str:
         key = f"{path}::{name}"
         found[key] = {"type": kind, "name": name, "line": node.lineno, "signature": signature, "docstring": ast.get_docstring(node), "called_by": []}
+        meant[name] = meant[name.rsplit(".", 1)[-1]] = found[key]
         return key
 
     def resolve(call: str, caller: str) -> None:
-        target = found.get(f"{path}::{call}")
-        if target is None:
-            target = next((s for k, s in found.items() if k.endswith(f".{call}")), None)
+        target = meant.get(call)
         if target is not None and target["type"] != "class" and caller not in target["called_by"]:
             target["called_by"].append(caller)
 
@@ -180,6 +180,91 @@ def type_counts(syms: DataFrame) -> DataFrame:
     return syms.groupBy("type").agg(F.count("*").alias("n"))
 
 
+#: Import, export and package statements by language: expressions with the name (or the statement) as group 1.
+STATEMENTS = {
+    "javascript": {"imports": r"(?m)^\s*(import\b[^;{\n]*(?:\{[^}]*\}[^;\n]*)?;?)|(?:=|^|\s)(require\(\s*['\"][^'\"]+['\"]\s*\))", "exports": r"(?m)^\s*(export\b[^\n]*)"},
+    "java": {"imports": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", "package": r"(?m)^\s*package\s+([\w.]+)\s*;"},
+    "go": {"imports": r"(?m)^import\s+(?:[\w.]+\s+)?\"([^\"]+)\"", "package": r"(?m)^package\s+(\w+)"},
+    "objective-c": {"imports": r"(?m)^\s*#import\s+[<\"]([^>\"]+)[>\"]"},
+    "zig": {"imports": r"@import\(\"([^\"]+)\"\)"},
+}
+STATEMENTS["typescript"] = STATEMENTS["javascript"]
+_GO_BLOCK = r"(?m)^import\s*\(([^)]*)\)"
+
+
+def python_imports(sources: pd.Series) -> pd.Series:
+    """Imported names in the order met, ``module.name`` for those taken from a module; none where the source does not parse."""
+
+    def one(body: str | None) -> list[str]:
+        try:
+            tree = ast.parse(body or "")
+        except (SyntaxError, ValueError, RecursionError):
+            return []
+        out: list[str] = []
+        for n in ast.walk(tree):
+            if isinstance(n, ast.Import):
+                out += [a.name for a in n.names]
+            elif isinstance(n, ast.ImportFrom) and n.module:
+                out += [f"{n.module}.{a.name}" for a in n.names]
+        return out
+
+    return pd.Series([one(b) for b in sources], dtype=object)
+
+
+def file_details(files: DataFrame) -> DataFrame:
+    """(path, language, line_count, imports, exports, package) of (path, content) files.
+
+    Python imports come from its own parser; the other languages' statements are found in the JVM. JavaScript and TypeScript
+    give whole statements, the others names. Languages without such statements have empty lists and no package.
+    """
+    lang = paths.parser_language(F.col("path"))
+    none = F.array().cast("array<string>")
+
+    def of(what: str) -> Column:
+        out = F.when(F.lit(False), none)
+        for name, rules in STATEMENTS.items():
+            if what in rules:
+                got = F.regexp_extract_all("content", F.lit(rules[what]), 1)
+                if name == "go":
+                    got = F.concat(got, F.regexp_extract_all(F.regexp_extract("content", _GO_BLOCK, 1), F.lit(r"\"([^\"]+)\""), 1))
+                elif name in ("javascript", "typescript") and what == "imports":
+                    got = F.concat(got, F.regexp_extract_all("content", F.lit(rules[what]), 2))
+                out = out.when(F.col("language") == name, F.filter(F.transform(got, lambda x: F.trim(x)), lambda x: x != ""))
+        return out
+
+    f = files.select("path", lang.alias("language"), "content")
+    first = F.get(of("package"), F.lit(0))
+    parsed = F.pandas_udf(python_imports, "array<string>")(F.when(F.col("language") == "python", F.col("content")))
+    return f.select(
+        "path", "language", F.coalesce(text.line_count(F.col("content")), F.lit(0)).alias("line_count"),
+        F.when(F.col("language") == "python", parsed).otherwise(F.coalesce(of("imports"), none)).alias("imports"), F.coalesce(of("exports"), none).alias("exports"), first.alias("package"),
+    )
+
+
+def parsing_statistics() -> dict:
+    """Which languages and extensions have a parser, which a fallback, and the extensions of each."""
+    parsers: dict[str, list[str]] = {}
+    for ext, name in paths.PARSER_LANGUAGES.items():
+        parsers.setdefault(name, []).append(ext)
+    fallback = {name: exts.split() for name, exts in paths.FALLBACK_EXTENSIONS.items()}
+    n = sum(map(len, fallback.values()))
+    return {
+        "total_strategies": len(parsers) + len(fallback), "specialized_languages": list(parsers), "fallback_languages": list(fallback), "total_extensions": len(paths.PARSER_LANGUAGES) + n,
+        "specialized_extensions": len(paths.PARSER_LANGUAGES), "fallback_extensions": n, "strategy_details": parsers | {f"fallback_{k}": v for k, v in fallback.items()},
+    }
+
+
+def rebuild_status(root: str | None, files: DataFrame | None, syms: DataFrame | None) -> dict:
+    """not_initialized without a root, needs_rebuild without an index, else ready; with the index statistics."""
+    if not root:
+        return {"status": "not_initialized", "message": "Project not initialized", "is_rebuilding": False}
+    if files is None or syms is None:
+        return {"status": "needs_rebuild", "index_available": False, "is_rebuilding": False, "project_path": root, "file_count": 0, "total_symbols": 0, "symbol_types": {}, "languages": []}
+    s = index_stats(files, syms).collect()[0]
+    kinds = {r.type: r.n for r in type_counts(syms).collect()}
+    return {"status": "ready", "index_available": True, "is_rebuilding": False, "project_path": root, "file_count": s.n_files, "total_symbols": s.n_symbols, "symbol_types": kinds, "languages": s.languages}
+
+
 def file_info(files: DataFrame) -> DataFrame:
     """(path, language, line_count)."""
     return files.select("path", paths.language(F.col("path")).alias("language"), F.coalesce(text.line_count(F.col("content")), F.lit(0)).alias("line_count"))

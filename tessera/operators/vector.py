@@ -18,8 +18,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), s)
 
 
-def _query_vector(df: DataFrame, query: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in query])
+def similarity(a: Column, query: list[float]) -> Column:
+    """Cosine similarity to a constant vector; null for a zero or null vector, another length or a null in it.
+
+    The products are written out, so they are compiled with the rest of the stage, and the query's norm is a constant.
+    """
+    norm = sum(float(x) * float(x) for x in query) ** 0.5
+    if not query or not norm:
+        return F.lit(None).cast("double")
+    d, n = F.lit(0.0), F.lit(0.0)
+    for i, q in enumerate(query):
+        x = F.get(a, F.lit(i)).cast("double")
+        d, n = d + x * F.lit(float(q)), n + x * x
+    return F.when(F.size(a) == len(query), F.try_divide(d, F.sqrt(n) * F.lit(norm)))
 
 
 def lookup_vector(df: DataFrame, key: str, value, vector: str) -> list[float]:
@@ -39,7 +50,7 @@ def top_k(df: DataFrame, query: list[float], k: int, vector: str = "embedding",
     src = df.where(F.col(vector).isNotNull())
     if filters is not None:
         src = src.where(filters)
-    src = src.withColumn("similarity_score", cosine(F.col(vector), _query_vector(df, query))).where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
+    src = src.withColumn("similarity_score", similarity(F.col(vector), query)).where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
     if max_distance is not None:
         src = src.where(1 - F.col("similarity_score") < max_distance)
     best = src.orderBy(F.desc_nulls_last("similarity_score"), tie).limit(k)
@@ -68,9 +79,21 @@ def similar_to(df: DataFrame, key: str, value, k: int, vector: str = "embedding"
     return top_k(df, lookup_vector(df, key, value, vector), k, vector, key, filters=F.col(key) != value)
 
 
+def search_records(adrs: DataFrame, query: list[float], k: int = 10, category: str | None = None, status: str | None = None, technology: str | None = None) -> DataFrame:
+    """Decision records by similarity: category, status and technology filter before the limit; the first 200 characters show."""
+    src = adrs
+    for column, value in (("decision_category", category), ("status", status)):
+        if value is not None:
+            src = src.where(F.col(column) == value)
+    if technology is not None:
+        src = src.where(F.array_contains("technology_stack", technology))
+    best = top_k(src, query, k, tie="adr_number")
+    return best.select("adr_number", "title", "status", F.col("decision_category").alias("category"), F.substring("content", 1, 200).alias("content_preview"), F.col("technology_stack").alias("technologies"), "similarity_score", "decided_at")
+
+
 def best_per_group(df: DataFrame, query: list[float], group: str, k: int, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
     """The k most similar rows of every group."""
-    s = df.where(F.col(vector).isNotNull()).withColumn("similarity_score", cosine(F.col(vector), _query_vector(df, query))).where("similarity_score is not null")
+    s = df.where(F.col(vector).isNotNull()).withColumn("similarity_score", similarity(F.col(vector), query)).where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
     w = Window.partitionBy(group).orderBy(F.desc("similarity_score"), tie)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import git, paths, text
 from tessera.operators import chunking, lexical, references, reports, store, symbols, vector
+from tessera.operators import ingest as ingesting
 from tessera.session import norm_key, table
 from tessera.streaming import events as ev
 
@@ -46,6 +47,9 @@ ONE_CHUNK = "(SELECT * REPLACE (nullif(lower(trim(project_id)), '') AS project_i
 ONE_ADR = "(SELECT * FROM adrs QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1)"
 DOC_LINES = "(SELECT path, CAST(i AS INT) AS line_no, rtrim(l[i], chr(13)) AS raw, CASE WHEN suffix(l[i], chr(13)) THEN l[i][:-2] ELSE l[i] END AS line FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(CASE WHEN suffix(text, chr(10)) THEN text[:-2] ELSE text END, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND text <> '')))"
 
+# the same with every line separator there is
+ALL_LINES = "(SELECT path, CAST(i AS INT) AS line_no, l[i] AS line FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, string_split(CASE WHEN suffix(t, chr(10)) THEN t[:-2] ELSE t END, chr(10)) AS l FROM (SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(text, '\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL AND text <> ''))))"
+
 
 def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "doc_id", "lang", "source")
@@ -145,11 +149,33 @@ def semantic_search(spark, d):
     p = _projects(spark, d)
     user = p.agg(F.min("user_id")).collect()[0][0]
     mine = p.where(F.col("user_id") == user).select("project_id", "project_name")
-    c = _chunks(spark, d, "project_id", "language", "line_start", "line_end", "embedding").where("lower(language) = 'python' and size(embedding) = 64 and line_start is not null and line_end is not null")
-    best = vector.top_k(c.join(mine, "project_id"), _q0(table(spark, d, "embeddings")), 10, tie="chunk_id")
+    c = table(spark, d, "code_chunks").select("chunk_id", F.col("project_id").alias("raw_id"), norm_key(F.col("project_id")).alias("project_id"), "language", "line_start", "line_end", "embedding")
+    c = c.where("lower(language) = 'python' and size(embedding) = 64 and line_start is not null and line_end is not null and raw_id is not null").join(mine, "project_id")
+    # scored where they are read; then repeated rows, which differ in nothing shown here, are dropped without their vectors
+    query_vector = _q0(table(spark, d, "embeddings"))
+    scored = c.select("chunk_id", "project_name", "line_start", "line_end", vector.similarity(F.col("embedding"), query_vector).alias("similarity_score")).where("similarity_score is not null and not isnan(similarity_score)")
+    best = scored.dropDuplicates(["chunk_id"]).orderBy(F.desc("similarity_score"), "chunk_id").limit(10)
     return vector.shaped(best).select("chunk_id", "project_name", "line_range", F.col("similarity_score").alias("score"))
 
 
+@query(f"SELECT a.adr_number, a.title, a.content[:200] AS content_preview, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS score FROM {ONE_ADR} a, {Q0} q WHERE decision_category = 'performance' AND len(a.embedding) = 64 AND list_sum(list_transform(a.embedding, lambda x: x * x)) > 0 AND NOT isnan(list_sum(a.embedding)) ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, a.adr_number LIMIT 10")
+def search_adrs(spark, d):
+    a = _latest(table(spark, d, "adrs"), "id", table(spark, d, "adrs").columns)
+    found = vector.search_records(a, _q0(table(spark, d, "embeddings")), category="performance")
+    return found.select("adr_number", "title", "content_preview", F.round("similarity_score", 4).alias("score"))
+
+
+USABLE_ADRS = f"(SELECT * FROM {ONE_ADR} WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0 AND NOT isnan(list_sum(embedding)))"
+
+
+@query(f"SELECT a.adr_number, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS score FROM {USABLE_ADRS} a, (SELECT adr_number, embedding FROM {USABLE_ADRS} ORDER BY adr_number LIMIT 1) q WHERE a.adr_number <> q.adr_number ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, a.adr_number LIMIT 5")
+def similar_adrs(spark, d):
+    a = _latest(table(spark, d, "adrs").select("id", "adr_number", "embedding", "updated_at"), "id", ["adr_number", "embedding"])
+    usable = a.where((F.size("embedding") == 64) & vector.similarity(F.col("embedding"), [1.0] * 64).isNotNull() & ~F.exists("embedding", F.isnan))
+    first = usable.agg(F.min("adr_number")).collect()[0][0]
+    return vector.similar_to(usable, "adr_number", first, 5).select("adr_number", F.round("similarity_score", 4).alias("score"))
+
+
 # ---- lexical search ------------------------------------------------------------------------------------------------
 @query(f"SELECT path, line_no, line FROM {DOC_LINES} WHERE contains(line, 'index')")
 def lex_literal(spark, d):
@@ -199,18 +225,12 @@ def lex_file_pattern(spark, d):
     return lexical.search(c, "return ", regex=False, path="chunk_id").select(F.col("path").alias("chunk_id"), "line_no")
 
 
-@query(f"SELECT path, line_no FROM {DOC_LINES} WHERE len(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9_]+'), lambda t: t <> '' AND levenshtein(t, 'ledgers') <= 1)) > 0 AND NOT regexp_matches(line, '[^\\x00-\\x7F]')")
+@query(f"SELECT path, line_no FROM {DOC_LINES} WHERE len(list_filter(regexp_split_to_array(lower(line), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '' AND levenshtein(t, 'ledgers') <= 1)) > 0")
 def lex_approximate(spark, d):
-    return lexical.approximate(_docs(spark, d), "ledgers").where(~F.col("line").rlike(r"[^\x00-\x7F]")).select("path", "line_no")
-
-
-@query()
-def lex_approximate_all(spark, d):
-    """Rows only, every line: the statement of lex_approximate knows ASCII words alone. Tests compare it with brute force."""
     return lexical.approximate(_docs(spark, d), "ledgers").select("path", "line_no")
 
 
-@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CAST(suffix(text, chr(10)) AS INT) END AS n_lines FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x0b\\x0c\\x1c-\\x1e]|\\r[^\\n]|\\r$|\\x{85}|\\x{2028}|\\x{2029}')")
+@query(f"SELECT d.doc_id, coalesce(n, 0) AS n_lines FROM documents d LEFT JOIN (SELECT path, count(*) AS n FROM {ALL_LINES} GROUP BY 1) ON path = CAST(doc_id AS VARCHAR) WHERE text IS NOT NULL")
 def line_stats(spark, d):
     return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", text.line_count(F.col("text")).alias("n_lines"))
 
@@ -248,7 +268,7 @@ def size_category(spark, d):
 
 
 @query(
-    f"SELECT file_path, CAST(CASE WHEN b = 'pipeline.py' THEN 100 WHEN starts_with(b, 'pipeline.py') THEN 50 WHEN contains(b, 'pipeline.py') THEN 25 ELSE 0 END + greatest(0, 10 - len(string_split(file_path, '/'))) AS INT) AS score FROM (SELECT file_path, lower(split_part(file_path, '/', -1)) AS b FROM {FILES}) ORDER BY score DESC, file_path LIMIT 50"
+    f"SELECT file_path, CAST(CASE WHEN b = 'pipeline.py' THEN 100 WHEN starts_with(b, 'pipeline.py') THEN 50 WHEN contains(b, 'pipeline.py') THEN 25 ELSE 0 END + greatest(0, 10 - len(string_split(file_path, '/'))) AS INT) AS score FROM (SELECT file_path, split_part(file_path, '/', -1) AS b FROM {FILES}) ORDER BY score DESC, file_path LIMIT 50"
 )
 def relevance_sort(spark, d):
     return _files(spark, d).withColumn("score", paths.relevance(F.col("file_path"), "pipeline.py")).orderBy(F.desc("score"), "file_path").limit(50)
@@ -269,16 +289,39 @@ def project_tree(spark, d):
 
 
 @query(
-    "SELECT project_name, CASE WHEN regexp_matches(u, '^https?://(?:[^@/]+@)?([^/]+)/([^/]+)/([^/]+?)(?:\\.git)?$') THEN regexp_extract(u, '^https?://(?:[^@/]+@)?([^/]+)/([^/]+)/([^/]+?)(?:\\.git)?$', 3) END AS repo, CASE WHEN CAST(hash AS INT) = 0 THEN 'github' ELSE 'gitea' END AS platform "
-    "FROM (SELECT DISTINCT project_name, length(project_name) % 2 AS hash, CASE WHEN length(project_name) % 2 = 0 THEN 'https://github.com/' ELSE 'https://git.example/' END || 'team/' || project_name || '.git' AS u FROM projects)"
+    "SELECT project_name, regexp_extract(u, '^https?://([^/]+)/([^/]+)/([^/]+?)(?:\\.git)?$', 3) AS repo, [ 'github', 'gitlab', 'bitbucket', 'gitea'][h + 1] AS platform "
+    "FROM (SELECT DISTINCT project_name, length(project_name) % 4 AS h, 'https://host.example/team/' || project_name || '.git' AS u FROM projects)"
 )
 def parse_git_url(spark, d):
-    host = F.when(F.length("project_name") % 2 == 0, "git@github.com:team/").otherwise("https://git.example/team/")
-    p = table(spark, d, "projects").select("project_name", F.concat(host, "project_name", F.lit(".git/ ")).alias("url")).distinct()
+    hosts = F.array(*[F.lit(x) for x in ("git@github.com:team/", "https://token@gitlab.com/team/", "https://bitbucket.org/team/", "https://git.example/team/")])
+    p = table(spark, d, "projects").select("project_name", F.concat(F.get(hosts, F.length("project_name") % 4), "project_name", F.lit(".git/ ")).alias("url")).distinct()
     u = git.parse_url(F.col("url"))
     return p.select("project_name", u["repo"].alias("repo"), u["platform"].alias("platform"))
 
 
+@query(f"SELECT file_path FROM {FILES} WHERE lower(regexp_extract(split_part(file_path, '/', -1), '^.+(\\.[^.]+)$', 1)) IN ('.py', '.ts', '.tsx') AND regexp_matches(regexp_replace(file_path, '/[^/]*$', ''), '^.*/src.*$') AND NOT regexp_matches(split_part(file_path, '/', -1), '^test_.*$')")
+def select_files(spark, d):
+    """Language list, directory pattern and exclude pattern together."""
+    p = F.col("file_path")
+    return _files(spark, d).where(paths.of_language(paths.file_language(p), ["Python", "TypeScript"]) & paths.in_directories(p, ["*/src*"]) & paths.not_matching(p, ["test_*"]))
+
+
+def _lang_sql(table_: dict[str, str]) -> str:
+    return f"CASE lower(regexp_extract(split_part(file_path, '/', -1), '^.+(\\.[^.]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + " ELSE 'unknown' END"
+
+
+@query(f"SELECT {_lang_sql(paths.FILE_LANGUAGES)} AS file_language, {_lang_sql({e: n for n, all_ in paths.FALLBACK_EXTENSIONS.items() for e in all_.split()} | paths.PARSER_LANGUAGES)} AS parser_language, count(*) AS n_files FROM {FILES} GROUP BY 1, 2")
+def file_languages(spark, d):
+    p = F.col("file_path")
+    return _files(spark, d).groupBy(paths.file_language(p).alias("file_language"), paths.parser_language(p).alias("parser_language")).agg(F.count("*").alias("n_files"))
+
+
+@query(f"SELECT 'users/u1/demo/' || file_path AS path, 'u1' AS user_id FROM {FILES}")
+def namespaced_paths(spark, d):
+    f = _files(spark, d).select(paths.namespaced(F.concat(F.lit("//"), "file_path"), F.lit("u1"), F.lit("demo")).alias("path"))
+    return f.select("path", paths.namespace_user(F.col("path")).alias("user_id"))
+
+
 # ---- store ---------------------------------------------------------------------------------------------------------
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
 def hash_content(spark, d):
@@ -376,16 +419,28 @@ def chunk_file(spark, d):
     return chunking.file_chunks(_docs(spark, d)).select("file_path", "chunk_type", "line_start", F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("h"))
 
 
-@query()
+def _files_by_chunk(spark, d) -> DataFrame:
+    """Chunks as files of (path, content), repeated rows included: they are dropped from the narrow results, not from the texts."""
+    return table(spark, d, "code_chunks").where("content is not null").select(F.col("chunk_id").alias("path"), "content")
+
+
+# greedy packing of the lines of long texts, one line a step
+CHUNK_LINES = "(SELECT path, content, CASE WHEN t = '' THEN [] ELSE string_split(CASE WHEN suffix(t, chr(10)) THEN t[:-2] ELSE t END, chr(10)) END AS l FROM (SELECT DISTINCT chunk_id AS path, content, regexp_replace(content, '\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g') AS t FROM code_chunks WHERE content IS NOT NULL))"
+PACKED = f"""WITH RECURSIVE big AS MATERIALIZED (SELECT path, list_transform(l, lambda x: length(x) + 1) AS w FROM {CHUNK_LINES} WHERE length(content) > 8000),
+r AS (SELECT path, 1 AS i, 1 AS s, w[1] AS size FROM big UNION ALL SELECT r.path, r.i + 1, CASE WHEN r.size + w[r.i + 1] > 8000 THEN r.i + 1 ELSE r.s END, CASE WHEN r.size + w[r.i + 1] > 8000 THEN w[r.i + 1] ELSE r.size + w[r.i + 1] END FROM r JOIN big ON big.path = r.path WHERE r.i < len(w)),
+spans AS (SELECT path, s, max(i) AS e FROM r GROUP BY 1, 2),
+packed AS (SELECT path AS file_path, 'block' AS chunk_type, 'block_' || s || '_' || e AS chunk_name, CAST(s AS INT) AS line_start, CAST(e AS INT) AS line_end FROM spans UNION ALL SELECT path, 'file', path, 1, CAST(len(l) AS INT) FROM {CHUNK_LINES} WHERE length(content) <= 8000)
+"""
+
+
+@query(PACKED + "SELECT * FROM packed")
 def chunk_greedy(spark, d):
-    """Rows only: packing is sequential; tests compare it with a plain loop."""
-    files = table(spark, d, "code_chunks").select(F.col("chunk_id").alias("path"), "content").dropDuplicates(["path"])
-    return chunking.block_chunks(files).select("file_path", "chunk_type", "chunk_name", "line_start", "line_end")
+    return chunking.block_chunks(_files_by_chunk(spark, d)).select("file_path", "chunk_type", "chunk_name", "line_start", "line_end").distinct()
 
 
 @query(
     f"SELECT path AS file_path, CAST(section AS BIGINT) AS section, CAST(min(line_no) AS INT) AS line_start, CAST(max(line_no) AS INT) AS line_end, coalesce(max(CASE WHEN m THEN regexp_extract(line, '^(#{{1,6}})\\s+(.+)$', 2) END), CASE WHEN bool_or(h) THEN 'Introduction' ELSE 'Content' END) AS title FROM "
-    f"(SELECT *, sum(CAST(m AS INT)) OVER (PARTITION BY path ORDER BY line_no) AS section, max(CAST(m AS INT)) OVER (PARTITION BY path) = 1 AS h FROM (SELECT *, regexp_matches(line, '^(#{{1,6}})\\s+(.+)$') AS m FROM {DOC_LINES}) WHERE path NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE regexp_matches(text, '[\\x0b\\x0c\\x1c-\\x1e]|\\r[^\\n]|\\r$|\\x{{85}}|\\x{{2028}}|\\x{{2029}}'))) GROUP BY path, section"
+    f"(SELECT *, sum(CAST(m AS INT)) OVER (PARTITION BY path ORDER BY line_no) AS section, max(CAST(m AS INT)) OVER (PARTITION BY path) = 1 AS h FROM (SELECT *, regexp_matches(line, '^(#{{1,6}})\\s+(.+)$') AS m FROM {ALL_LINES})) GROUP BY path, section"
 )
 def chunk_sections(spark, d):
     s = chunking.sections(_docs(spark, d).where(F.col("content") != ""))
@@ -394,25 +449,37 @@ def chunk_sections(spark, d):
     return s.select("file_path", (F.row_number().over(w) - 1 + first).cast("bigint").alias("section"), "line_start", "line_end", F.col("chunk_name").alias("title"))
 
 
-@query("SELECT chunk_id, array_to_string(l[greatest(1, 1):3], chr(10)) AS head FROM (SELECT DISTINCT chunk_id, string_split(content, chr(10)) AS l FROM code_chunks WHERE NOT regexp_matches(content, '\\r|[\\x0b\\x0c\\x1c-\\x1e]|\\x{85}|\\x{2028}|\\x{2029}') AND len(string_split(content, chr(10))) > 5)")
+@query(
+    PACKED + "SELECT file_path, line_start, line_end, CASE WHEN line_start > 1 THEN array_to_string(l[greatest(1, line_start - 3):line_start - 1], chr(10)) END AS context_before, "
+    f"CASE WHEN line_end < len(l) THEN array_to_string(l[line_end + 1:least(len(l), line_end + 3)], chr(10)) END AS context_after FROM packed JOIN {CHUNK_LINES} f ON f.path = packed.file_path"
+)
 def chunk_overlap(spark, d):
-    c = table(spark, d, "code_chunks").where(~F.col("content").rlike("\r|[\x0b\x0c\x1c-\x1e]|\x85|\u2028|\u2029") & (F.size(F.split("content", "\n")) > 5)).select(F.col("chunk_id").alias("path"), "content").distinct()
-    tail = c.select(F.col("path").alias("file_path"), F.lit(4).alias("line_start"), F.lit(5).alias("line_end"))
-    return chunking.with_overlap(tail, c).select(F.col("file_path").alias("chunk_id"), F.col("context_before").alias("head"))
-
-
-@query()
-def chunk_overlap_all(spark, d):
-    """Rows only, every text and every packed span of it, whatever its line ends and length. Tests compare it with brute force."""
-    files = table(spark, d, "code_chunks").select(F.col("chunk_id").alias("path"), "content").dropDuplicates(["path"])
-    return chunking.with_overlap(chunking.block_chunks(files), files).select("file_path", "line_start", "line_end", "context_before", "context_after")
+    files = _files_by_chunk(spark, d)
+    spans = chunking.block_chunks(files).select("file_path", "line_start", "line_end").distinct()
+    return chunking.with_overlap(spans, files.distinct()).select("file_path", "line_start", "line_end", "context_before", "context_after")
 
 
 @query()
 def python_chunks(spark, d):
     """Rows only: definitions found by Python's own parser."""
-    c = table(spark, d, "code_chunks").where("lower(language) = 'python'").select(F.col("chunk_id").alias("path"), "content").dropDuplicates(["path"])
-    return chunking.python_chunks(c).select("file_path", "chunk_type", "chunk_name", "line_start", "line_end")
+    c = table(spark, d, "code_chunks").where("lower(language) = 'python' and content is not null").select(F.col("chunk_id").alias("path"), "content")
+    return chunking.python_chunks(c).select("file_path", "chunk_type", "chunk_name", "line_start", "line_end").distinct()
+
+
+SECTIONS = f"(SELECT path, section, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS h FROM (SELECT *, sum(CAST(regexp_matches(line, '^(#{{1,6}})\\s+(.+)$') AS INT)) OVER (PARTITION BY path ORDER BY line_no) AS section FROM {ALL_LINES}) GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH s AS (SELECT s.*, coalesce(lower(lang) = 'en', false) AS old FROM {SECTIONS} s JOIN documents ON CAST(doc_id AS VARCHAR) = path), f AS (SELECT count(*) AS files_processed FROM documents WHERE text IS NOT NULL), "
+    "i AS (SELECT count(DISTINCT h) AS chunks_inserted FROM s WHERE h NOT IN (SELECT h FROM s WHERE old)), c AS (SELECT count(*) AS chunks_created FROM s) "
+    "SELECT files_processed, chunks_created, chunks_inserted, chunks_created - chunks_inserted AS chunks_skipped, chunks_inserted AS embeddings_generated FROM f, i, c"
+)
+def ingest(spark, d):
+    """Every document as a Markdown file into a project that holds the English ones: chunk, insert if absent, embed, count."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"), "lang")
+    old = chunking.chunk_files(docs.where("lower(lang) = 'en'")).select(F.lit("p").alias("project_id"), "content_hash")
+    files = docs.drop("lang")
+    return ingesting.ingest_stats(files, old, ingesting.ingest(files, old, "p"), "p")
 
 
 @query("SELECT 'File: ' || file_path || chr(10) || 'Language: ' || language || chr(10) || CASE WHEN coalesce(chunk_name, '') <> '' THEN upper(chunk_type[1]) || chunk_type[2:] || ': ' || chunk_name || chr(10) ELSE '' END || chr(10) || 'Code:' || chr(10) || content AS embedding_text FROM (SELECT DISTINCT chunk_id, file_path, language, chunk_name, chunk_type, content FROM code_chunks WHERE language IS NOT NULL)")
@@ -574,28 +641,60 @@ def idle_projects(spark, d):
     return reports.idle(table(spark, d, "events"), "user_id", "ts", F.to_timestamp_ntz(F.lit("2024-02-05 00:00:00")), 6)
 
 
+@query("SELECT count(*) AS scanned, count(*) FILTER (WHERE m < TIMESTAMP '2024-02-05 00:00:00' - INTERVAL 6 DAY) AS idle, CAST(0 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS skipped FROM (SELECT max(ts) AS m FROM events GROUP BY user_id)")
+def idle_report(spark, d):
+    return reports.idle_report(table(spark, d, "events"), "user_id", "ts", F.to_timestamp_ntz(F.lit("2024-02-05 00:00:00")), 6)
+
+
 # ---- symbols -------------------------------------------------------------------------------------------------------
 def _sources(spark, d) -> DataFrame:
-    c = table(spark, d, "code_chunks").select("chunk_id", "file_path", "content").dropDuplicates(["chunk_id"])
-    return c.select(F.concat_ws("/", "chunk_id", F.lower("file_path")).alias("path"), "content")
+    """Chunks as source files; repeated rows give repeated symbols, which are dropped after parsing."""
+    return table(spark, d, "code_chunks").where("content is not null").select(F.concat_ws("/", "chunk_id", F.lower("file_path")).alias("path"), "content")
+
+
+def _symbols(spark, d) -> DataFrame:
+    return symbols.symbols(_sources(spark, d)).dropDuplicates(["symbol_id"])
 
 
 @query()
 def symbol_type_counts(spark, d):
     """Rows only: parsers are imperative; tests hold golden symbols."""
-    return symbols.type_counts(symbols.symbols(_sources(spark, d)))
+    return symbols.type_counts(_symbols(spark, d).select("symbol_id", "type"))
 
 
 @query()
 def file_summary(spark, d):
     """Rows only, as symbol_type_counts."""
-    return symbols.file_summary(symbols.symbols(_sources(spark, d))).select("file", "symbol_count", F.size("functions").alias("n_functions"), F.size("methods").alias("n_methods"))
+    return symbols.file_summary(_symbols(spark, d)).select("file", "symbol_count", F.size("functions").alias("n_functions"), F.size("methods").alias("n_methods"))
 
 
 @query()
 def call_graph(spark, d):
-    """Rows only, as symbol_type_counts."""
-    return symbols.calls(symbols.symbols(_sources(spark, d)))
+    """Rows only, as symbol_type_counts. Files are put together from their chunks, in line order, one text a project and path."""
+    c = table(spark, d, "code_chunks").where("content is not null").select("chunk_id", norm_key(F.col("project_id")).alias("project_id"), "file_path", "line_start", "content").dropDuplicates(["chunk_id"])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("line_start", F.lit(0)).alias("line"), "chunk_id", "content"))), lambda x: x["content"]), "\n")
+    files = c.groupBy("project_id", "file_path").agg(body.alias("content")).select(F.concat_ws("/", "project_id", F.lower("file_path")).alias("path"), "content")
+    return symbols.calls(symbols.symbols(files))
+
+
+PACKAGES = "regexp_extract(content, '(?m)^package\\s+(\\w+)', 1)"
+
+
+@query(
+    f"SELECT chunk_id, CAST(len(l) AS INT) AS line_count, CASE WHEN regexp_matches(content, '(?m)^package\\s+(\\w+)') THEN {PACKAGES} END AS package, "
+    "len(regexp_extract_all(content, '(?m)^import\\s+(?:[\\w.]+\\s+)?\"([^\"]+)\"')) + len(regexp_extract_all(regexp_extract(content, '(?m)^import\\s*\\(([^)]*)\\)', 1), '\"[^\"]+\"')) AS n_imports "
+    f"FROM (SELECT f.path AS chunk_id, f.l, f.content FROM {CHUNK_LINES} f JOIN (SELECT DISTINCT chunk_id FROM code_chunks WHERE suffix(lower(file_path), '.go')) g ON g.chunk_id = f.path)"
+)
+def go_file_details(spark, d):
+    c = table(spark, d, "code_chunks").where(paths.extension(F.col("file_path")) == ".go").where("content is not null").select(F.concat("chunk_id", F.lit(".go")).alias("path"), "content")
+    r = symbols.file_details(c).distinct()
+    return r.select(paths.stem(F.col("path")).alias("chunk_id"), "line_count", "package", F.size("imports").cast("bigint").alias("n_imports"))
+
+
+@query()
+def file_details(spark, d):
+    """Rows only: imports, exports and packages of every language; tests hold golden statements, go_file_details an oracle."""
+    return symbols.file_details(_sources(spark, d)).select("path", "language", "line_count", F.size("imports").alias("n_imports"), F.size("exports").alias("n_exports"), "package").distinct()
 
 
 @query(f"SELECT chunk_id, CASE WHEN starts_with(chunk_name, 'get') THEN 'g' ELSE 'o' END AS kind, regexp_extract(l, '^func\\s+([A-Za-z_]\\w*)\\s*(?:\\[[^\\]]*\\])?\\(', 1) AS name FROM (SELECT DISTINCT chunk_id, chunk_name, string_split(content, chr(10))[1] AS l FROM code_chunks WHERE suffix(file_path, '.go')) WHERE regexp_matches(l, '^func\\s+([A-Za-z_]\\w*)\\s*(?:\\[[^\\]]*\\])?\\(')")
@@ -633,7 +732,11 @@ def p3_report(spark, d):
     return r.groupBy("table_name", "field_name", "period").agg(F.sum("n_references").alias("n_references"))
 
 
-@query()
+@query(
+    ORPHANS.replace("AS ref_key, c.made FROM", "AS ref_key, c.made, p.k IS NULL AS gone FROM").replace("CAST(s.k AS VARCHAR), s.made FROM", "CAST(s.k AS VARCHAR), s.made, a.k IS NULL FROM")
+    + ", r AS (SELECT o.*, CASE WHEN NOT gone THEN 'late' WHEN d.at IS NULL THEN 'missing' WHEN d.at >= made THEN 'deleted_later' ELSE 'deleted' END AS reason FROM o LEFT JOIN (SELECT CASE lower(entity) WHEN 'project' THEN 'code_chunks' ELSE 'adrs' END AS t, lower(trim(entity_key)) AS k, max(deleted_at) AS at FROM cleanup_log GROUP BY 1, 2) d ON d.t = o.table_name AND d.k = o.ref_key) "
+    "SELECT table_name, field_name, reason, strftime(made, '%Y-%m') AS period, count(*) AS n_references FROM r GROUP BY ALL"
+)
 def p3_reasons(spark, d):
-    """Orphans by reason (missing, deleted, late): rows only; tests hold the cases."""
+    """Orphans by reason: missing, deleted, deleted_later, late."""
     return references.orphan_report(_orphans(spark, d))

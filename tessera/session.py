@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_STAGED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests, local runs)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a folder of our own for a local master (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _OWN:
         own = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, own, True)
@@ -37,6 +40,7 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -44,6 +48,16 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> int:
+    """Delete the tables this process has staged, once no result that reads them is needed; their number."""
+    for p in _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    n = len(_STAGED)
+    _STAGED.clear()
+    return n
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name."""
     out = frames[0]

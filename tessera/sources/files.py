@@ -55,6 +55,20 @@ def read_patterns(spark: SparkSession, root: str, patterns: tuple[str, ...] = pa
     return df.select("path", F.when(F.is_valid_utf8(s), s).alias("content"), F.when(~F.is_valid_utf8(s), "not UTF-8").alias("error"))
 
 
+def explicit(spark: SparkSession, file_paths: list[str]) -> DataFrame:
+    """(path, content, error) of the listed files under their plain names; missing ones are skipped."""
+    there = []
+    for p in file_paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p if "://" in p or p.startswith("file:") else f"file:{p}")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            there.append(at.toString())
+    if not there:
+        return spark.createDataFrame([], "path string, content string, error string")
+    s = F.col("content").cast("string")
+    df = spark.read.format("binaryFile").load(there)
+    return df.select(paths.basename(F.col("path")).alias("path"), F.when(F.is_valid_utf8(s), s).alias("content"), F.when(~F.is_valid_utf8(s), "not UTF-8").alias("error"))
+
+
 def inline(spark: SparkSession, files: list[dict]) -> DataFrame:
     """(path, content) of uploaded entries; entries without a path or content are skipped."""
     rows = [(f["path"], f["content"]) for f in files if f.get("path") and f.get("content") is not None]

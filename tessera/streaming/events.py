@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import hmac
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,6 +83,47 @@ def route(event_type: Column, url: Column, limited: Column) -> Column:
     return F.when(~event_type.isin("push", "Push Hook"), "ignored").when(F.coalesce(url, F.lit("")) == "", "error").when(limited, "rate_limited").otherwise("accepted")
 
 
+def signature_valid(payload: bytes, header: str | None, secret: str | None, form: str = "sha256=") -> bool:
+    """Whether a push call carries its HMAC-SHA256 as ``form`` + hex (form "" for a bare one); compared in constant time."""
+    if not secret or not header or not header.startswith(form):
+        return False
+    return hmac.compare_digest(hmac.new(secret.encode(), payload, hashlib.sha256).hexdigest(), header[len(form) :])
+
+
+def signed(payload: Column, header: Column, secret: str) -> Column:
+    """Column form of :func:`signature_valid`, without Python: HMAC is two hashes over the padded key."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ c for b in key)) for c in (0x36, 0x5C))
+    body = payload.cast("binary")
+    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, body), 256))), 256)
+    return F.coalesce(header.startswith("sha256=") & (F.substring(header, 8, 64) == digest) & (F.length(header) == 71), F.lit(False))
+
+
+def worth_ingesting(changes: DataFrame) -> bool:
+    """Whether a pull has changed anything."""
+    return bool(changes.limit(1).count())
+
+
+def watcher_status(query, restarts: int = 0, debounce_seconds: float = 0.0) -> dict:
+    """Status of a running stream of file events."""
+    last = query.lastProgress if query is not None else None
+    return {"active": bool(query is not None and query.isActive), "restarts": restarts, "debounce_seconds": debounce_seconds, "batches": last["batchId"] + 1 if last else 0}
+
+
+def restarting(start: Callable[[], object], tries: int = 3):
+    """Run a stream to its end, starting it again after a failure, at most ``tries`` times; the last failure is raised."""
+    for attempt in range(1, tries + 1):
+        query = start()
+        try:
+            query.awaitTermination()
+            return query
+        except Exception:
+            if attempt == tries:
+                raise
+    return None
+
+
 def repository(payload: Column, platform: Column) -> Column:
     """struct(name, url, branch) of a webhook payload."""
     hub = platform.isin("github", "gitea")

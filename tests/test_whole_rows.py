@@ -23,14 +23,14 @@ def test_documents(spark, tmp_path):
     assert {r.doc_id: r.n_lines for r in run("line_stats")} == {i: len(t.splitlines()) for i, t in enumerate(TEXTS) if t is not None}
     assert {int(r.file_path) for r in run("chunk_sections")} == {i for i, t in enumerate(TEXTS) if t}
     want = {(str(i), n) for i, t in enumerate(TEXTS) for n, line in enumerate((t or "").split("\n"), 1) if any(near(w, "ledgers") for w in re.split(r"[^\w]+", line.lower()))}
-    assert {(r.path, r.line_no) for r in run("lex_approximate_all")} == want and {("4", 1), ("4", 2), ("5", 1), ("5", 2)} <= want
+    assert {(r.path, r.line_no) for r in run("lex_approximate")} == want and {("4", 1), ("4", 2), ("5", 1), ("5", 2)} <= want
 
 
 def test_overlap(spark, tmp_path):
     long = "\r\n".join(f"def f{k}(x):\r\n    return x * {k} + len('{'y' * 60}')\r\n" for k in range(120))
     texts = {"crlf": long, "lf": long.replace("\r\n", "\n"), "few": "a\r\nb", "sep": "a\u2028b\x0cc\n", "empty": "", "null": None}
     spark.createDataFrame(list(texts.items()), "chunk_id string, content string").write.parquet(f"{tmp_path}/code_chunks.parquet")
-    got = catalog.queries()["chunk_overlap_all"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["chunk_overlap"](spark, str(tmp_path)).collect()
     assert {r.file_path for r in got} >= {"crlf", "lf", "few", "sep"} and sum(r.file_path == "crlf" for r in got) > 1
     for r in got:
         lines = texts[r.file_path].splitlines()
