@@ -285,22 +285,30 @@ def origins(chunks: DataFrame) -> DataFrame:
     rel = F.regexp_replace("path", "^[^/]*/", "")
     name = F.element_at(F.split("path", "/"), -1)
     c = feats.select("project", "path", "bits", "raw", "cls", "n").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    c = stage(c.withColumn("root", F.coalesce("root", "cls")).withColumn("rel", rel).withColumn("name", name), "chunks")
-    seed = c.groupBy("project", "path").agg(F.bit_or("bits").alias("file_bits"))
+    c = stage(c.withColumn("root", F.coalesce("root", "cls")).withColumn("rel", rel).withColumn("name", name), "chunks").where("root is not null")
+    seed = feats.groupBy("project", "path").agg(F.bit_or("bits").alias("file_bits")).where("file_bits > 0")
     # numbered lists: one repeated shape, counted through; many such lines a tool wrote
-    own = seed.withColumn("file_bits", F.when(F.col("file_bits").bitwiseAND(NUMBERED) > 0, F.col("file_bits").bitwiseOR(GENERATED)).otherwise(F.col("file_bits")))
-    marked = c.join(own, ["project", "path"])
-    up = marked.where(F.col("file_bits").bitwiseAND(VENDORED) > 0)
-    copied = up.where("root is not null").groupBy("root", "name", "raw").agg(F.min("project").alias("p1"), F.max("project").alias("p2"))
+    own = stage(seed.withColumn("file_bits", F.when(F.col("file_bits").bitwiseAND(NUMBERED) > 0, F.col("file_bits").bitwiseOR(GENERATED)).otherwise(F.col("file_bits"))), "marked")
+    # what the marked files give to others is few beside all chunks; each list is staged, so that Spark knows its size and sends
+    # it to the chunks while it is small
+    up = c.join(own.where(F.col("file_bits").bitwiseAND(VENDORED) > 0), ["project", "path"])
+    ends = [F.min("project").alias("p1"), F.max("project").alias("p2")]
+    copied = stage(up.groupBy("root", "name", "raw").agg(*ends), "copied")
     spread_v = c.join(copied, ["root", "name", "raw"]).where("project <> p1 or project <> p2").select("project", "path", F.lit(VENDORED).alias("file_bits"))
-    rich = marked.where((F.col("n") >= SHAPE) & F.col("root").isNotNull())
-    named = rich.where(F.col("file_bits").bitwiseAND(VENDORED) > 0).groupBy("root", "name").agg(F.min("project").alias("p1"), F.max("project").alias("p2"))
+    rich = c.where(F.col("n") >= SHAPE)
+    named = stage(up.where(F.col("n") >= SHAPE).groupBy("root", "name").agg(*ends), "named")
     spread_n = rich.join(named, ["root", "name"]).where("project <> p1 or project <> p2").select("project", "path", F.lit(VENDORED).alias("file_bits"))
-    family = rich.select("root", "project", "path", (F.col("file_bits").bitwiseAND(GENERATED) > 0).alias("made")).distinct()
-    most = family.groupBy("root", "project").agg(F.count_if("made").alias("g"), F.count("*").alias("k")).where("g >= 2 and 2 * g > k and g < k").select("root", "project")
+    made = rich.join(own.where(F.col("file_bits").bitwiseAND(GENERATED) > 0), ["project", "path"]).select("root", "project", "path").distinct()
+    some = stage(made.groupBy("root", "project").agg(F.count("*").alias("g")).where("g >= 2"), "families")
+    family = rich.join(some, ["root", "project"]).select("root", "project", "path", "g").distinct()
+    most = stage(family.groupBy("root", "project").agg(F.count("*").alias("k"), F.max("g").alias("g")).where("2 * g > k and g < k").select("root", "project"), "most")
     spread_g = family.join(most, ["root", "project"], "left_semi").select("project", "path", F.lit(GENERATED).alias("file_bits"))
-    wide = c.where("root is not null").groupBy("root", "rel", "raw").agg(F.countDistinct("project").alias("k")).where(F.col("k") >= MANY_PROJECTS).select("root", "rel", "raw")
-    spread_w = c.join(wide, ["root", "rel", "raw"], "left_semi").select("project", "path", F.lit(VENDORED).alias("file_bits"))
+    # texts under one path in many projects: found by hashes, then by the values themselves
+    keyed = c.withColumn("h", F.xxhash64("root", "rel", "raw"))
+    often = stage(keyed.groupBy("h").agg(F.countDistinct(F.xxhash64("project")).alias("k")).where(F.col("k") >= MANY_PROJECTS).select("h"), "often")
+    again = keyed.join(often, "h", "left_semi")
+    wide = again.groupBy("root", "rel", "raw").agg(F.countDistinct("project").alias("k")).where(F.col("k") >= MANY_PROJECTS).select("root", "rel", "raw")
+    spread_w = again.join(wide, ["root", "rel", "raw"], "left_semi").select("project", "path", F.lit(VENDORED).alias("file_bits"))
     all_bits = union_all([own, spread_v, spread_n, spread_g, spread_w]).groupBy("project", "path").agg(F.bit_or("file_bits").alias("bits"))
     kinds = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(b) > 0, F.lit(k)) for k, b in (("blob", BLOB), ("generated", GENERATED), ("minified", MINIFIED), ("vendored", VENDORED))]))
     return all_bits.select(F.col("project").alias("project_id"), F.col("path").alias("file_path"), kinds.alias("kinds")).where("size(kinds) > 0")
