@@ -73,13 +73,15 @@ class CodeIndex:
         return chunking.chunk_files(self.files, strategy)
 
 
-def semantic_search_code(chunks: DataFrame, projects: DataFrame, user_id: str, query: str | list[float], project_name: str | None = None, language: str | None = None, top_k: int = 10, min_similarity: float = 0.0, dim: int = 64) -> DataFrame:
-    """Filtered top-k over the user's chunks. A text query is embedded with the deterministic embedder."""
+def semantic_search_code(chunks: DataFrame, projects: DataFrame, user_id: str, query: str | list[float], project_name: str | None = None, language: str | None = None, top_k: int = 10, min_similarity: float = 0.0, dim: int = 64, use_mock: bool = False) -> DataFrame:
+    """Filtered top-k over the user's chunks. A text query is embedded with the deterministic embedder; ``use_mock`` finds nothing."""
     mine = projects.where(F.col("user_id") == user_id)
     if project_name is not None:
         mine = mine.where(F.col("project_name") == project_name)
     c = chunks.where(F.lower("language") == language.lower()) if language else chunks
     c = c.join(mine.select("project_id", "project_name").dropDuplicates(["project_id"]), "project_id")
+    if use_mock:
+        c = c.limit(0)
     q = [float(x) for x in hash_vector(query, dim)] if isinstance(query, str) else query
     return vector.shaped(vector.top_k(c, q, top_k, tie="chunk_id", min_similarity=min_similarity))
 

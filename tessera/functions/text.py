@@ -91,5 +91,30 @@ def zero_vector(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
 
 
+def vector_literal(vector: Column) -> Column:
+    """``[x,y,...]``, the text form of a vector column."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def api_key(key: Column, prefix: str = "ci_") -> Column:
+    """Whether a key has the form of an issued one; null is none."""
+    return F.coalesce(key.startswith(prefix), F.lit(False))
+
+
+def bearer(header: Column) -> Column:
+    """The token of an Authorization header, null for another kind."""
+    return F.when(header.startswith("Bearer "), F.trim(F.substring(header, 8, 1_000_000)))
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Duration in seconds, null while one end is missing."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+
+
+def slice_text(text: Column, start: Column, end: Column) -> Column:
+    """Characters start (from 0) to end of a text, trimmed; empty where the range lies outside."""
+    return F.trim(F.substring(F.coalesce(text, F.lit("")), F.greatest(start, F.lit(0)) + 1, F.greatest(end - F.greatest(start, F.lit(0)), F.lit(0))))
+
+
 def line_range(start: Column, end: Column) -> Column:
     return F.concat_ws("-", start.cast("string"), end.cast("string"))

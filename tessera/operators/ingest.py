@@ -10,10 +10,29 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import chunking, store
 from tessera.operators.embed import hash_embedder
+from tessera.session import stage
 
 KEYS = ["project_id", "content_hash"]
 
 
+def ingest_into(files: DataFrame, path: str, project_id: str, strategy: str = "function", embedder: Callable[[Column], Column] | None = None, dim: int = 64, progress: Callable[[str, dict], None] = lambda message, stats: None) -> dict:
+    """Ingest into the chunk table under ``path`` (made where it is missing): a new part of it is written, old parts stay as they are.
+
+    Returns the counts of :func:`ingest_stats`; ``progress`` is told after every stage.
+    """
+    spark = files.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    existing = spark.read.parquet(path).select(*KEYS) if fs.exists(root) else spark.createDataFrame([], "project_id string, content_hash string")
+    progress("chunking", {})
+    added = stage(ingest(files, existing, project_id, strategy, embedder, dim), "ingest")
+    stats = ingest_stats(files, existing, added, project_id, strategy).collect()[0].asDict()
+    progress("embedded", stats)
+    added.write.mode("append").parquet(path)
+    progress("stored", stats)
+    return stats
+
+
 def ingest(files: DataFrame, existing: DataFrame, project_id: str, strategy: str = "function", embedder: Callable[[Column], Column] | None = None, dim: int = 64) -> DataFrame:
     """The chunks that an ingestion adds to ``existing`` (project_id, content_hash, ...).
 

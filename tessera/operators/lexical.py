@@ -36,11 +36,14 @@ def predicate(line: Column, pattern: str, case_sensitive: bool = True, fuzzy: bo
 def search(files: DataFrame, pattern: str, case_sensitive: bool = True, context_lines: int = 0, file_pattern: str | None = None, fuzzy: bool = False, regex: bool | None = None, max_line_length: int | None = None, path: str = "path", content: str = "content") -> DataFrame:
     """(path, line_no, line[, is_match]): hits, with merged context windows where asked for. ValueError for a bad pattern.
 
-    A plain pattern is also tested on the whole text first, so files without it are never split into lines.
+    A plain pattern, and an expression without look-arounds, is also tested on the whole text first, so files without it are never split into lines.
     """
     rx = text.looks_like_regex(pattern) if regex is None else regex
     src = files.where(paths.file_pattern(F.col(path), file_pattern))
-    if not rx and not fuzzy:
+    if rx and not re.search(r"\(\?|\\[AzZG]|[*+?}]\+", pattern):
+        # without look-arounds and possessive repeats, a match in a line is one in the whole text, line by line
+        src = src.where(F.col(content).rlike(f"(?m{'' if case_sensitive else 'iu'})(?:{pattern})"))
+    elif not rx and not fuzzy:
         src = src.where(predicate(F.col(content), pattern, case_sensitive, fuzzy, regex))
     out = text.truncate(F.col("line"), max_line_length).alias("line")
     if context_lines <= 0:

@@ -101,28 +101,57 @@ def python_symbols(path: str, source: str) -> list[tuple]:
     return [(k, path, s["type"], s["name"], s["line"], s["signature"], s["docstring"], s["called_by"]) for k, s in found.items()]
 
 
+_QUIET = re.compile(r"//[^\n]*|/\*.*?(?:\*/|$)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*(?:`|$)", re.S)
+
+
+def quiet(source: str) -> str:
+    """The source with comments and literals blanked; lines keep their number, and their length."""
+    return _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m.group(0)), source)
+
+
 def declared_symbols(path: str, source: str, language: str) -> list[tuple]:
-    """Symbols of a non-Python file by line patterns, with callers by exact callee name; ids carry the full path."""
+    """Symbols of a non-Python file by line patterns, with callers by exact callee name; ids carry the full path.
+
+    Brackets are counted outside comments and literals: a type owns the methods inside its braces, and a function the calls
+    inside its own, however deep they are nested. Objective-C types end at @end.
+    """
     rules = [(k, re.compile(rx)) for k, rx in DECLARATIONS[language]]
     call = re.compile(r"\b([A-Za-z_$][\w$]*)\s*\(")
     rows: dict[str, list] = {}
-    owner = current = None
     uses: list[tuple[str, str]] = []
-    for no, line in enumerate(source.splitlines(), 1):
-        hit = next(((k, m) for k, rx in rules if (m := rx.match(line))), None)
+    depth = 0
+    owners: list[tuple[int, str]] = []  # types and functions that are open, with the depth they stand at
+    inside: list[tuple[int, str]] = []
+    plain = source.splitlines()
+    blank = quiet("\n".join(plain)).split("\n")
+    for no, (line, code) in enumerate(zip(plain, blank), 1):
+        owner = owners[-1][1] if owners else None
+        hit = None if not code.strip() else next(((k, m) for k, rx in rules if (m := rx.match(line))), None)
         if hit:
             kind, m = hit
             name = m.group(1)
-            if kind in ("class", "struct", "interface", "enum"):
-                owner = name
+            is_type = kind in ("class", "struct", "interface", "enum")
             full = f"{owner}.{name}" if kind == "method" and owner and language != "go" else name
-            current = f"{path}::{full}"
-            rows.setdefault(current, [current, path, kind, full, no, line.strip() if kind in ("function", "method") else None, None, []])
-            rest = line[m.end() :]
+            key = f"{path}::{full}"
+            rows.setdefault(key, [key, path, kind, full, no, line.strip() if kind in ("function", "method") else None, None, []])
+            if is_type:
+                owners.append((depth, name))
+            else:
+                inside.append((depth, key))
+            rest = " " * m.end() + code[m.end() :]
         else:
-            rest = line
-        if current and rows[current][2] in ("function", "method"):
-            uses += [(current, c) for c in call.findall(rest)]
+            rest = code
+        if inside:
+            uses += [(inside[-1][1], c) for c in call.findall(rest)]
+        opened = "{" in code
+        depth = max(0, depth + code.count("{") - code.count("}"))
+        ended = code.strip().startswith("@end")
+        if "}" in code or ";" in code and hit and not opened:  # what stands no deeper than its own line has ended
+            inside = [x for x in inside if x[0] < depth]
+            if language != "objective-c":
+                owners = [x for x in owners if x[0] < depth]
+        if ended:
+            owners, inside, depth = [], [], 0
     by_name: dict[str, list[str]] = {}
     for key, r in rows.items():
         by_name.setdefault(r[3].rsplit(".", 1)[-1], []).append(key)

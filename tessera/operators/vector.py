@@ -79,6 +79,11 @@ def similar_to(df: DataFrame, key: str, value, k: int, vector: str = "embedding"
     return top_k(df, lookup_vector(df, key, value, vector), k, vector, key, filters=F.col(key) != value)
 
 
+def fetch(best: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """The stored rows of found keys, with their scores: the second half of a search whose vectors lie in another store."""
+    return store.join(best.select(key, "similarity_score"), key)
+
+
 def search_records(adrs: DataFrame, query: list[float], k: int = 10, category: str | None = None, status: str | None = None, technology: str | None = None) -> DataFrame:
     """Decision records by similarity: category, status and technology filter before the limit; the first 200 characters show."""
     src = adrs

@@ -167,3 +167,47 @@ def test_records(spark):
 def test_stages_are_cleared(spark):
     df = session.stage(spark.range(3), "t")
     assert df.count() == 3 and session.clear_stages(spark) >= 1 and session.clear_stages(spark) == 0
+
+
+def test_brackets_give_owners():
+    ts = "class A {\n  one() {\n    helper();\n  }\n}\nfunction helper() {\n  // } not a bracket\n  const s = '}';\n  two();\n}\nclass B\n{\n  two() {\n    this.one();\n  }\n}\nhelper();\n"
+    by = {r[3]: (r[4], r[7]) for r in symbols.declared_symbols("x.ts", ts, "typescript")}
+    assert set(by) == {"A", "A.one", "helper", "B", "B.two"}
+    assert by["helper"] == (6, ["x.ts::A.one"]) and by["B.two"] == (13, ["x.ts::helper"]) and by["A.one"][1] == ["x.ts::B.two"]
+    java = "public class A {\n  int[] x = {1, 2};\n  public void f() {\n    g();\n  }\n  static class B {\n    private int g() {\n      return 1;\n    }\n  }\n  public int h(int a) {\n    return g();\n  }\n}\n"
+    by = {r[3]: r[7] for r in symbols.declared_symbols("A.java", java, "java")}
+    assert set(by) == {"A", "A.f", "B", "B.g", "A.h"} and by["B.g"] == ["A.java::A.f", "A.java::A.h"]
+    objc = "@implementation A\n- (void)f {\n  g();\n}\n@end\nvoid g(int a) {\n  h();\n}\n"
+    by = {r[3]: r[7] for r in symbols.declared_symbols("a.m", objc, "objective-c")}
+    assert by == {"A": [], "A.f": [], "g": ["a.m::A.f"]}
+    go = "type S struct {\n\tx int\n}\nfunc (s S) Run() { help() }\nfunc help() {\n\t/* run() */\n}\n"
+    by = {r[3]: r[7] for r in symbols.declared_symbols("s.go", go, "go")}
+    assert by == {"S": [], "Run": [], "help": ["s.go::Run"]}
+
+
+def test_expressions_on_whole_texts(spark):
+    from tessera.operators import lexical
+
+    df = spark.createDataFrame([("a", "x foo\r\nbar y\n"), ("b", "foo bar"), ("c", "foo\nbaz"), ("d", None)], "path string, content string")
+    hits = lambda rx: sorted((r.path, r.line_no) for r in lexical.search(df, rx, regex=True).collect())
+    assert hits("foo$") == [("a", 1), ("c", 1)] and hits(r"^ba[rz]") == [("a", 2), ("c", 2)] and hits(r"foo(?!\s*ba)") == [("a", 1), ("c", 1)]
+    assert hits(r"foo[^q]*$") == [("a", 1), ("b", 1), ("c", 1)] and hits("zzz|qqq") == []
+
+
+def test_small_functions(spark):
+    from tessera.functions import text
+
+    r = spark.sql("SELECT array(1.5f, 2f) v, 'ci_x' k, 'Bearer abc ' h, timestamp'2024-01-01 00:00:01' a, timestamp'2024-01-01 00:00:03.5' b, ' héllo ' t").select(
+        text.vector_literal(F.col("v")), text.api_key(F.col("k")), text.bearer(F.col("h")), text.seconds_between(F.col("a"), F.col("b")), text.slice_text(F.col("t"), F.lit(0), F.lit(4)), text.slice_text(F.col("t"), F.lit(9), F.lit(12)), text.bearer(F.lit("Basic x"))
+    ).collect()[0]
+    assert list(r) == ["[1.5,2.0]", True, "abc", 2.5, "hél", "", None]
+
+
+def test_ingest_into(spark, tmp_path):
+    files = spark.createDataFrame([("a.py", "def f():\n    return 1\n"), ("b.js", "x")], "path string, content string")
+    told = []
+    stats = ingest.ingest_into(files, str(tmp_path / "chunks"), "p", progress=lambda m, s: told.append(m))
+    assert stats["chunks_inserted"] == 2 and told == ["chunking", "embedded", "stored"]
+    assert ingest.ingest_into(files, str(tmp_path / "chunks"), "p")["chunks_skipped"] == 2 and spark.read.parquet(str(tmp_path / "chunks")).count() == 2
+    best = spark.createDataFrame([("b.js", 0.5)], "file_path string, similarity_score double")
+    assert vector.fetch(best, spark.read.parquet(str(tmp_path / "chunks")), "file_path").count() == 1
