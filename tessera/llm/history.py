@@ -47,7 +47,7 @@ WIDEST = 3  # least_depth() of the constants above; a key is stored as its first
 
 
 def entries(texts: DataFrame) -> DataFrame:
-    """(scope, tree, prefix, tail, c8) of each set: ``DEPTH`` min-hash values of 16 bits a tree, in key order."""
+    """(scope, tree, prefix, tail, c8) of each set: ``DEPTH`` min-hash values of 16 bits a tree, in key order; computed once."""
     rng = np.random.default_rng(20240601)
     mul = rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64)
@@ -67,7 +67,7 @@ def entries(texts: DataFrame) -> DataFrame:
             tail = ((v[:, :, 3] << 16) | v[:, :, 4]) - (1 << 31)
             yield pd.DataFrame({"scope": batch["scope"], "c8": batch["c8"], "prefix": list(prefix), "tail": list(tail.astype(np.int32))})
 
-    keys = texts.where("blob is not null").select("scope", "c8", "blob").mapInPandas(run, "scope string, c8 bigint, prefix array<bigint>, tail array<int>")
+    keys = stage(texts.where("blob is not null").select("scope", "c8", "blob").mapInPandas(run, "scope string, c8 bigint, prefix array<bigint>, tail array<int>"), "keys")
     pair = F.posexplode(F.arrays_zip("prefix", "tail")).alias("tree", "k")
     return keys.select("scope", "c8", pair).select("scope", F.col("tree").cast("tinyint").alias("tree"), "k.prefix", "k.tail", "c8")
 
@@ -267,8 +267,7 @@ class SignatureForest:
             old = met.where("old = 1")
             for deep in (F.col("depth") > WIDEST, F.col("depth") == WIDEST):
                 todo = old.where(deep) if away is None else old.where(deep).join(away.select("a"), "a", "left_anti")
-                todo = stage(todo.join(here.select(F.col("c8").alias("a")), "a", "left_semi").select("a", "b"), "ranges")
-                hit = verify(todo, classes, self.threshold)
+                hit = verify(todo.select("a", "b"), classes, self.threshold, ready=True)
                 ends = hit.select(F.col("a").alias("cls")).union(hit.select(F.col("b").alias("cls")))
                 hit = stage(ends.join(here, "cls").select(F.col("c8").alias("a"), "cls").distinct(), "alike")
                 away = hit if away is None else away.union(hit)
@@ -276,9 +275,9 @@ class SignatureForest:
             here = open_.where("cls is not null").select("cls", "c8").distinct()
         # among themselves, in order
         inner = met.join(here.select(F.col("c8").alias("a")), "a", "left_semi").join(here.select(F.col("c8").alias("b")), "b", "left_semi")
-        inner = stage(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "inner")
-        pairs = verify(inner, classes, self.threshold).select("a", "b")
-        edges = stage(pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).union(pairs.select(F.col("b").alias("ca"), F.col("a").alias("cb"))), "edges")
+        inner = inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stage(verify(inner, classes, self.threshold, ready=True).select("a", "b"), "pairs")
+        edges = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).union(pairs.select(F.col("b").alias("ca"), F.col("a").alias("cb")))
         node = digest(F.hex("hg"), F.coalesce(F.hex("cls"), F.lit("")))
         nodes = open_.groupBy("hg", F.col("cls").alias("cg")).agg(F.min("at").alias("first")).withColumn("node", digest(F.hex("hg"), F.coalesce(F.hex("cg"), F.lit(""))))
         # alone in both groups and without neighbour: nothing can turn it away

@@ -137,15 +137,17 @@ def blob_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(unpack(x), unpack(y)) for x, y in zip(a, b)], dtype="float64")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, threshold: float, ready: bool = False) -> DataFrame:
     """(a, b, sim): classes of the candidate pairs (a, b), given by ``c8``, whose sets reach the threshold; a < b.
 
     Two classes of one c8 (a matter of 10^10 classes) are both looked at, so a half id can add work, never a wrong pair.
     ``pairs`` should be staged: Spark then knows its size and sends the ids to the sets, not the sets to the ids, while
-    they are few. Only the sets that occur in a pair are carried on.
+    they are few. Only the sets that occur in a pair are carried on; ``ready`` says that ``classes`` holds no others, once each.
     """
-    ids = pairs.select(F.col("a").alias("c8")).union(pairs.select(F.col("b").alias("c8"))).distinct()
-    sub = stage(classes.select("cls", "c8", "blob").join(ids, "c8", "left_semi").dropDuplicates(["cls"]), "verify")
+    sub = classes
+    if not ready:
+        ids = pairs.select(F.col("a").alias("c8")).union(pairs.select(F.col("b").alias("c8"))).distinct()
+        sub = stage(classes.select("cls", "c8", "blob").join(ids, "c8", "left_semi").dropDuplicates(["cls"]), "verify")
     sim = F.pandas_udf(blob_jaccard, DoubleType())
     # sets are never broadcast, so that the plan is the same at every size
     left = sub.select(F.col("c8").alias("a"), F.col("cls").alias("cls_a"), F.col("blob").alias("blob_a")).hint("merge")
