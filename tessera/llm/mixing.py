@@ -99,8 +99,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     """
     counts = stage(token_counts(docs, tokenizer), "counts")
     b = stage(budgets(counts, targets, total), "budgets")
-    placed = place(counts.join(F.broadcast(b.where("used > 0").select("source")), "source", "left_semi"), seed)
-    j = placed.join(F.broadcast(b.select("source", "used", "available")), "source")
+    placed = place(counts.join(b.where("used > 0").select("source"), "source", "left_semi"), seed)
+    j = placed.join(b.select("source", "used", "available"), "source")
     epochs = F.expr("used div available")
     rest = F.col("used") - epochs * F.col("available")
     take = F.greatest(F.lit(0), F.least("tokens", rest - F.col("before")))
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     out = j.select("doc_id", "source", "tokens", "copies", F.when(F.col("take") < F.col("tokens"), F.col("take")).otherwise(0).cast("bigint").alias("cut_tokens")).where("copies > 0 or cut_tokens > 0")
     out = stage(out, "mix")
     got = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies") + F.col("cut_tokens")).alias("got"), F.count("*").alias("documents"))
-    r = b.join(F.broadcast(got), "source", "left").fillna({"got": 0, "documents": 0})
+    r = b.join(got, "source", "left").fillna({"got": 0, "documents": 0})
     share = F.round(F.try_divide(F.col("got").cast("double"), F.sum("got").over(Window.partitionBy()).cast("double")), 6)
     report = r.select("source", "target_share", share.alias("actual_share"), "budget", F.col("got").alias("used"), (F.col("budget") - F.col("got")).alias("shortfall"), "available", "documents")
     return out, report

@@ -241,9 +241,10 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float | None = 0
     total = classes.count()
     if not total:
         return vectors.select(key, F.col(key).alias("other"), F.lit(0.0).alias("sim")).limit(0)
-    share = min(1.0, SAMPLE / total)
-    picked = classes.select("vec").where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * SAMPLE).toPandas()
-    shards = max(1, min(-(-total // shard_rows), SAMPLE // 64))
+    shards = max(1, -(-total // shard_rows))
+    sample = max(SAMPLE, 64 * shards)  # so many rows fit the top tree; 16 KB a shard on the driver
+    share = min(1.0, sample / total)
+    picked = classes.select("vec").where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * sample).toPandas()
     top = spark.sparkContext.broadcast(TopTree(matrix(picked["vec"]) if len(picked) else np.empty((0, DIM), np.float32), shards))
     slack = 0.0 if least is None else float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) / relax
 

@@ -7,6 +7,7 @@ Components take the class of the inspected examples below that they hold; a docu
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from tessera.session import stage
 
 COMPONENTS, ROUNDS, SEED_ROWS, FLOOR = 16, 20, 4000, 1e-2
 DOUBT = 1e-3
+TOLERANCE = 1e-3
 CLASSES = ("prose", "list", "table", "junk")
 
 #: Frequent function words of English, German, Spanish and French; fixed values.
@@ -205,6 +207,7 @@ class Mixture:
     def __init__(self, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, centre: np.ndarray, scale: np.ndarray):
         self.weights, self.means, self.covs, self.centre, self.scale = weights, means, covs, centre, scale
         self.labels = np.zeros(len(weights), int)
+        self.rounds, self.converged = 0, False
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return (x - self.centre) / self.scale
@@ -215,8 +218,8 @@ class Mixture:
         logs = np.empty((len(z), len(self.weights)))
         for k, (w, m, c) in enumerate(zip(self.weights, self.means, self.covs)):
             low = np.linalg.cholesky(c)
-            y = np.linalg.solve(low, (z - m).T)
-            logs[:, k] = np.log(w + 1e-300) - 0.5 * (y * y).sum(0) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
+            y = (z - m) @ np.linalg.inv(low).T
+            logs[:, k] = np.log(w + 1e-300) - 0.5 * (y * y).sum(1) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
         top = logs.max(1, keepdims=True)
         p = np.exp(logs - top)
         s = p.sum(1, keepdims=True)
@@ -255,7 +258,11 @@ class Mixture:
 
 
 def fit(stats: DataFrame, components: int = COMPONENTS, rounds: int = ROUNDS) -> Mixture:
-    """Expectation-maximization over all rows; only the starting centres come from a bounded sample (SEED_ROWS rows)."""
+    """Expectation-maximization over all rows; only the starting centres come from a bounded sample (SEED_ROWS rows).
+
+    It ends when a round adds less than TOLERANCE to the mean log likelihood, or after ``rounds``; ``rounds`` and ``converged`` of
+    the model, and the log, tell which.
+    """
     cols = [F.col(c) for c in STATS]
     row = stats.agg(*[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols], F.count("*")).collect()[0]
     d = len(STATS)
@@ -278,8 +285,9 @@ def fit(stats: DataFrame, components: int = COMPONENTS, rounds: int = ROUNDS) ->
         gap = np.min([((z - p) ** 2).sum(1) for p in picks], axis=0)
         picks.append(z[rng.choice(len(z), p=gap / gap.sum())] if gap.sum() > 0 else z[rng.integers(len(z))])
     model = Mixture(np.full(components, 1 / components), np.array(picks), np.array([np.eye(d) * 0.5] * components), centre, scale)
-    last = -np.inf
-    for _ in range(rounds if total else 0):
+    last, done, settled = -np.inf, 0, not total
+    while total and done < rounds and not settled:
+        done += 1
         m = model
 
         def moments(batches: Iterator[pd.DataFrame], m: Mixture = m) -> Iterator[pd.DataFrame]:
@@ -301,9 +309,10 @@ def fit(stats: DataFrame, components: int = COMPONENTS, rounds: int = ROUNDS) ->
         rows = sorted(parts.groupBy("k").agg(*add).collect(), key=lambda r: r.k)
         model = model.updated(np.array([r.n for r in rows]), np.array([r.s for r in rows]), np.array([r.q for r in rows]).reshape(components, d, d))
         like = sum(r.like for r in rows) / total
-        if like - last < 1e-3:
-            break
+        settled = like - last < TOLERANCE
         last = like
+    model.rounds, model.converged = done, settled
+    logging.getLogger(__name__).info("mixture: %d rounds, %s, mean log likelihood %.4f", done, "converged" if settled else "not converged", last)
     model.label()
     return model
 
