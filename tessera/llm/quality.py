@@ -60,9 +60,12 @@ def word_parts(word: str) -> tuple[tuple[str, ...], int]:
     return got
 
 
-def sentence_line(line: str) -> float | None:
-    """How strongly a line reads as running text: 1 yes, 0 no, None too short to tell by itself."""
-    bare = _PREFIX.sub("", line).strip()
+def sentence_line(line: str, words: list[str] | None = None) -> float | None:
+    """How strongly a line reads as running text: 1 yes, 0 no, None too short to tell by itself.
+
+    ``words`` are the line's words, where they are known already.
+    """
+    bare = line if words is not None and line[:1].isalpha() else _PREFIX.sub("", line).strip()
     if "&" in bare or "<" in bare or "*" in bare or "_" in bare:
         bare = _MARKUP.sub("", bare)
     if not bare:
@@ -72,7 +75,8 @@ def sentence_line(line: str) -> float | None:
         cjk = len(_CJK.findall(bare))
         if cjk >= 0.4 * solid:
             return 1.0 if cjk >= 6 or _END.search(bare) else None
-    words = _WORD.findall(bare)
+    if words is None or bare is not line:
+        words = _WORD.findall(bare)
     letters = sum(map(len, words))
     if letters < 0.55 * solid:
         return 0.0
@@ -95,66 +99,74 @@ def sentence_line(line: str) -> float | None:
     return None if common >= 0.1 * len(words) else 0.0
 
 
-def sentence_share(text: str) -> float:
-    """Share of the non-blank characters that stand in running sentences; wrapped lines count with the line before."""
-    total = good = 0
+STATS = ("words", "mean_word", "symbols", "digits", "ended_lines", "common", "line_length", "distinct", "sentences", "cjk", "marked", "columns")
+
+
+def statistics(text: str) -> tuple[float, ...]:
+    """The statistics of a text that is not blank, in the order of ``STATS``.
+
+    Log word count, mean word length, symbol and digit share of the characters, share of lines ending in punctuation, share
+    of common words, log mean line length, share of distinct words, share of characters in sentences, share of CJK characters, share
+    of lines that start with a list mark, share of lines that look like columns. A line is read once; wrapped lines count with
+    the line before.
+    """
+    n = letters = words = common = n_lines = ended = marked = columns = 0
+    kinds: set[tuple[str, ...]] = set()
+    running = 0
     last = 0.0
     held = 0  # characters of short lines that wait for what follows
     for line in text.replace("\r", "\n").split("\n"):
-        n = len("".join(line.split()))
-        if not n:
+        bare = line.strip()
+        if not bare:
             last, held = 0.0, 0
             continue
-        total += n
-        v = sentence_line(line)
+        size = len("".join(bare.split()))
+        found = _WORD.findall(bare)
+        n += size
+        n_lines += 1
+        words += len(found)
+        letters += sum(map(len, found))
+        for w in found:
+            parts, c = word_parts(w)
+            kinds.add(parts)
+            common += c
+        ended += bool(_END.search(bare))
+        marked += bool(_MARK.match(bare))
+        columns += bool(_COLUMNS.search(bare))
+        v = sentence_line(bare, found)
         if v is None:
             if last == 1.0:
-                good += n
+                running += size
             else:
-                held += n
+                held += size
             continue
         if v == 1.0:
-            good += n + held
-        held = 0
-        last = v
-    return good / total if total else 0.0
-
-
-STATS = ("words", "mean_word", "symbols", "digits", "ended_lines", "common", "line_length", "distinct", "sentences", "cjk", "marked", "columns")
-
-
-def statistics(text: str) -> tuple[float, ...]:
-    """The statistics of a text that is not blank, in the order of ``STATS``.
-
-    Log word count, mean word length, symbol and digit share of the characters, share of lines ending in punctuation, share
-    of common words, log mean line length, share of distinct words, share of characters in sentences, share of CJK characters, share
-    of lines that start with a list mark, share of lines that look like columns.
-    """
-    words = _WORD.findall(text)
-    lines = [x.strip() for x in text.replace("\r", "\n").split("\n") if x.strip()]
-    solid = "".join(text.split())
-    n = max(1, len(solid))
-    cjk = 0 if solid.isascii() else len(_CJK.findall(solid))
-    letters = sum(map(len, words))
-    digits = len(_DIGIT.findall(solid))
-    read = [word_parts(w) for w in words]
-    common = sum(c for _, c in read)
+            running += size + held
+        held, last = 0, v
+    cjk = 0 if text.isascii() else len(_CJK.findall(text))
+    digits = len(_DIGIT.findall(text))
+    whole, lines = max(1, n), max(1, n_lines)
     return (
-        float(np.log1p(len(words) + cjk / 2)),
-        min(20.0, letters / max(1, len(words))),
-        max(0, n - letters - digits) / n,
-        digits / n,
-        sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
-        common / max(1, len(words)),
-        float(np.log1p(n / max(1, len(lines)))),
-        len({p for p, _ in read}) / max(1, len(words)),
-        sentence_share(text),
-        cjk / n,
-        sum(map(bool, map(_MARK.match, lines))) / max(1, len(lines)),
-        sum(map(bool, map(_COLUMNS.search, lines))) / max(1, len(lines)),
+        float(np.log1p(words + cjk / 2)),
+        min(20.0, letters / max(1, words)),
+        max(0, whole - letters - digits) / whole,
+        digits / whole,
+        ended / lines,
+        common / max(1, words),
+        float(np.log1p(whole / lines)),
+        len(kinds) / max(1, words),
+        running / whole,
+        cjk / whole,
+        marked / lines,
+        columns / lines,
     )
 
 
+def sentence_share(text: str) -> float:
+    """Share of the non-blank characters that stand in running sentences."""
+    return statistics(text)[STATS.index("sentences")]
+
+
 #: Inspected examples: texts whose class is plain, written for this purpose.
 EXAMPLES = (
     ("prose", "The scheduler keeps a list of pending jobs and starts the next one when a worker is free. If no worker answers within a minute, the job goes back to the queue."),
