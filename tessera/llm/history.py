@@ -201,15 +201,15 @@ class SignatureForest:
         found = self._list(kind)
         return self.spark.read.schema(schema).parquet(*found) if found else None
 
-    def _write(self, df: DataFrame, kind: str) -> None:
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{kind}/{len(self._list(kind)):06d}-{uuid.uuid4().hex[:8]}")
+    def _write(self, df: DataFrame, kind: str, by: list[str] | None = None) -> None:
+        df.write.partitionBy(*(by or [])).option("compression", "zstd").parquet(f"{self.path}/{kind}/{len(self._list(kind)):06d}-{uuid.uuid4().hex[:8]}")
 
     def _write_run(self, df: DataFrame) -> None:
         self._write(df.repartitionByRange("scope", "tree", "prefix").sortWithinPartitions("scope", "tree", "prefix", "tail"), "runs")
 
     def add_texts(self, rows: DataFrame) -> None:
         """Read (chunk_id, scope, hash, at, slice, content) rows into sets; nothing is accepted yet."""
-        self._write(signatures(rows, "chunk_id", "content", keep=("scope", "hash", "at", "slice"), scope="scope", part="slice").select(*[c.split()[0] for c in TEXTS.split(", ")]), "texts")
+        self._write(signatures(rows, "chunk_id", "content", keep=("scope", "hash", "at", "slice"), scope="scope", part="slice").select(*[c.split()[0] for c in TEXTS.split(", ")]), "texts", ["slice"])
 
     def history(self, scopes: list[str] | None) -> DataFrame | None:
         """Entries of all runs, of the named scopes only where they are few."""
@@ -226,7 +226,8 @@ class SignatureForest:
 
     def accept_texts(self, slice_no: int) -> DataFrame:
         """Decide the texts of one slice, in order of ``at``, against the history and each other, and add what is accepted."""
-        texts = self._read("texts", TEXTS).where(F.col("slice") == slice_no)
+        past = self._read("texts", TEXTS).where(F.col("slice") <= slice_no)
+        texts = past.where(F.col("slice") == slice_no)
         # a repeated row of a chunk counts once, at its earliest
         rows = texts.groupBy("chunk_id").agg(F.min_by(F.struct("scope", "hash", "at", "cls", "c8"), F.struct("at", "scope", "hash")).alias("r")).select("chunk_id", "r.*")
         hg = digest(F.lit("hash"), "scope", F.coalesce(F.concat(F.lit("="), F.lower("hash")), F.concat(F.lit("chunk "), F.col("chunk_id"))))
@@ -234,9 +235,9 @@ class SignatureForest:
         span = rows.agg(F.min("at"), F.max("at")).collect()[0]
         if span[0] is None:
             return rows.select("chunk_id", "scope", "at", F.lit(True).alias("accepted"))
-        return union_all(self._accept(rows, texts, *span, True))
+        return union_all(self._accept(rows, texts, past, *span, True))
 
-    def _accept(self, rows: DataFrame, texts: DataFrame, low: int, high: int, whole: bool) -> list[DataFrame]:
+    def _accept(self, rows: DataFrame, texts: DataFrame, past: DataFrame, low: int, high: int, whole: bool) -> list[DataFrame]:
         mine = rows if whole else rows.where(F.col("at").between(low, high))
         known = self._read("known", "id binary")
         open_ = mine.select("chunk_id", "scope", "at", "hg", "hashed", "cls", "c8")
@@ -253,13 +254,13 @@ class SignatureForest:
         if low < high and met.where("depth < 0").limit(1).count():
             middle = mine.agg(F.percentile_approx("at", 0.5)).collect()[0][0]
             middle = middle if middle < high else high - 1
-            return self._accept(rows, texts, low, middle, False) + self._accept(rows, texts, middle + 1, high, False)
+            return self._accept(rows, texts, past, low, middle, False) + self._accept(rows, texts, past, middle + 1, high, False)
         met = met.where("depth > 0")
         here = open_.where("cls is not null").select("cls", "c8").distinct()
         # the sets that can be compared at all: one pass over the texts for all rounds
         met = stage(met.join(here.select(F.col("c8").alias("a")), "a", "left_semi").join(here.select(F.col("c8").alias("b"), F.lit(1).alias("new")), "b", "left").where("old = 1 or new = 1").select("a", "b", "depth", "old"), "comparable")
         ids = met.select(F.col("a").alias("c8")).union(met.select(F.col("b").alias("c8"))).distinct()
-        classes = self._read("texts", TEXTS).where("blob is not null").select("cls", "c8", "n", "blob")
+        classes = past.where("blob is not null").select("cls", "c8", "n", "blob")
         classes = stage(classes.join(ids, "c8", "left_semi").dropDuplicates(["cls"]), "sets")
         # against the history: the longest common prefixes first, wider ranges for those that found nothing
         away = None
