@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import paths, text
 from tessera.session import union_all
@@ -61,19 +60,22 @@ def block_chunks(files: DataFrame, limit: int = MAX_CHUNK_SIZE) -> DataFrame:
 def sections(files: DataFrame, header: str = r"^(#{1,6})\s+(.+)$") -> DataFrame:
     """Header-delimited sections of texts; text before the first header is the introduction, a text without one is the content.
 
-    A running count of headers numbers the sections of a file, so one file is one sort key and no text is walked in Python.
+    The lines of a text stay in its row: headers are found in the array of lines and sections are slices of it, no line is
+    shuffled and no text is walked in Python.
     """
-    ls = files.where("content is not null").select(F.col("path").alias("file_path"), F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line"))
-    head = F.col("line").rlike(header)
-    w = Window.partitionBy("file_path").orderBy("pos")
-    ls = ls.withColumn("section", F.sum(head.cast("int")).over(w)).withColumn("has", F.max(head.cast("int")).over(Window.partitionBy("file_path")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    title = F.max(F.when(head, F.regexp_extract("line", header, 2)))
-    level = F.max(F.when(head, F.length(F.regexp_extract("line", header, 1))))
-    g = ls.groupBy("file_path", "section", "has").agg(title.alias("title"), level.alias("level"), (F.min("pos") + 1).alias("line_start"), (F.max("pos") + 1).alias("line_end"), body.alias("content"))
-    name = F.when(F.col("section") > 0, F.col("title")).when(F.col("has") > 0, "Introduction").otherwise("Content")
-    symbols = F.to_json(F.struct(F.col("title").alias("header"), F.coalesce("level", F.lit(0)).alias("level"), F.lit("markdown_section").alias("type")))
-    return g.select("file_path", F.lit("section").alias("chunk_type"), name.alias("chunk_name"), "line_start", "line_end", paths.language(F.col("file_path")).alias("language"), "content", symbols.alias("symbols"))
+    f = files.where("content is not null and content <> ''").select(F.col("path").alias("file_path"), text.split_lines(F.col("content")).alias("ls"))
+    # a line starts a section if it is a header or the first
+    starts = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(header) | (i == 0), i + 1)), lambda i: i.isNotNull())
+    s = f.select("file_path", "ls", starts.alias("starts"))
+    s = s.select("file_path", "ls", "starts", F.posexplode("starts").alias("k", "line_start"))
+    s = s.withColumn("has", (F.size("starts") > 1) | F.get("ls", F.lit(0)).rlike(header)).withColumns({"line_end": F.coalesce(F.get("starts", F.col("k") + 1) - 1, F.size("ls")), "head": F.get("ls", F.col("line_start") - 1)})
+    s = s.withColumn("is_head", F.col("head").rlike(header))
+    title = F.when(F.col("is_head"), F.regexp_extract("head", header, 2))
+    level = F.when(F.col("is_head"), F.length(F.regexp_extract("head", header, 1))).otherwise(0)
+    name = F.when(F.col("is_head"), title).when(F.col("has"), "Introduction").otherwise("Content")
+    body = F.array_join(F.slice("ls", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
+    symbols = F.to_json(F.struct(title.alias("header"), level.alias("level"), F.lit("markdown_section").alias("type")))
+    return s.select("file_path", F.lit("section").alias("chunk_type"), name.alias("chunk_name"), "line_start", "line_end", paths.language(F.col("file_path")).alias("language"), body.alias("content"), symbols.alias("symbols"))
 
 
 def _call_names(node: ast.AST) -> list[str]:

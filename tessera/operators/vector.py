@@ -18,19 +18,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), s)
 
 
-def similarity(a: Column, query: list[float]) -> Column:
-    """Cosine similarity to a constant vector; null for a zero or null vector, another length or a null in it.
+def similarity(vector: str, query: list[float]) -> Column:
+    """Cosine similarity of a vector column to a constant; null for a zero or null vector, another length or a null in it.
 
     The products are written out, so they are compiled with the rest of the stage, and the query's norm is a constant.
     """
     norm = sum(float(x) * float(x) for x in query) ** 0.5
     if not query or not norm:
         return F.lit(None).cast("double")
-    d, n = F.lit(0.0), F.lit(0.0)
-    for i, q in enumerate(query):
-        x = F.get(a, F.lit(i)).cast("double")
-        d, n = d + x * F.lit(float(q)), n + x * x
-    return F.when(F.size(a) == len(query), F.try_divide(d, F.sqrt(n) * F.lit(norm)))
+    cells = [f"CAST(get(`{vector}`, {i}) AS DOUBLE)" for i in range(len(query))]
+    dot_ = " + ".join(f"{c} * {float(q)!r}D" for c, q in zip(cells, query))
+    square = " + ".join(f"{c} * {c}" for c in cells)
+    return F.expr(f"CASE WHEN size(`{vector}`) = {len(query)} THEN try_divide({dot_}, sqrt({square}) * {norm!r}D) END")
 
 
 def lookup_vector(df: DataFrame, key: str, value, vector: str) -> list[float]:
@@ -50,7 +49,7 @@ def top_k(df: DataFrame, query: list[float], k: int, vector: str = "embedding",
     src = df.where(F.col(vector).isNotNull())
     if filters is not None:
         src = src.where(filters)
-    src = src.withColumn("similarity_score", similarity(F.col(vector), query)).where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
+    src = src.withColumn("similarity_score", similarity(vector, query)).where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
     if max_distance is not None:
         src = src.where(1 - F.col("similarity_score") < max_distance)
     best = src.orderBy(F.desc_nulls_last("similarity_score"), tie).limit(k)
@@ -98,7 +97,7 @@ def search_records(adrs: DataFrame, query: list[float], k: int = 10, category: s
 
 def best_per_group(df: DataFrame, query: list[float], group: str, k: int, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
     """The k most similar rows of every group."""
-    s = df.where(F.col(vector).isNotNull()).withColumn("similarity_score", similarity(F.col(vector), query)).where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
+    s = df.where(F.col(vector).isNotNull()).withColumn("similarity_score", similarity(vector, query)).where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
     w = Window.partitionBy(group).orderBy(F.desc("similarity_score"), tie)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -153,7 +153,7 @@ def semantic_search(spark, d):
     c = c.where("lower(language) = 'python' and size(embedding) = 64 and line_start is not null and line_end is not null and raw_id is not null").join(mine, "project_id")
     # scored where they are read; then repeated rows, which differ in nothing shown here, are dropped without their vectors
     query_vector = _q0(table(spark, d, "embeddings"))
-    scored = c.select("chunk_id", "project_name", "line_start", "line_end", vector.similarity(F.col("embedding"), query_vector).alias("similarity_score")).where("similarity_score is not null and not isnan(similarity_score)")
+    scored = c.select("chunk_id", "project_name", "line_start", "line_end", vector.similarity("embedding", query_vector).alias("similarity_score")).where("similarity_score is not null and not isnan(similarity_score)")
     best = scored.dropDuplicates(["chunk_id"]).orderBy(F.desc("similarity_score"), "chunk_id").limit(10)
     return vector.shaped(best).select("chunk_id", "project_name", "line_range", F.col("similarity_score").alias("score"))
 
@@ -171,7 +171,7 @@ USABLE_ADRS = f"(SELECT * FROM {ONE_ADR} WHERE len(embedding) = 64 AND list_sum(
 @query(f"SELECT a.adr_number, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS score FROM {USABLE_ADRS} a, (SELECT adr_number, embedding FROM {USABLE_ADRS} ORDER BY adr_number LIMIT 1) q WHERE a.adr_number <> q.adr_number ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, a.adr_number LIMIT 5")
 def similar_adrs(spark, d):
     a = _latest(table(spark, d, "adrs").select("id", "adr_number", "embedding", "updated_at"), "id", ["adr_number", "embedding"])
-    usable = a.where((F.size("embedding") == 64) & vector.similarity(F.col("embedding"), [1.0] * 64).isNotNull() & ~F.exists("embedding", F.isnan))
+    usable = a.where((F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", F.isnan))
     first = usable.agg(F.min("adr_number")).collect()[0][0]
     return vector.similar_to(usable, "adr_number", first, 5).select("adr_number", F.round("similarity_score", 4).alias("score"))
 
