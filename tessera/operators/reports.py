@@ -110,6 +110,37 @@ def history(adrs: DataFrame, technology: str | None = None, category: str | None
     return src.select("adr_number", "title", "decision_category", "decided_at").orderBy(F.desc_nulls_last("decided_at"), "adr_number")
 
 
+def language_flags(chunks: DataFrame) -> DataFrame:
+    """(project_id, flags): per project a map of its languages in lower case to 1; an empty map for one without any."""
+    langs = F.array_sort(F.collect_set(F.lower("language")))
+    return chunks.groupBy("project_id").agg(langs.alias("l")).select("project_id", F.map_from_arrays("l", F.transform("l", lambda x: F.lit(1))).alias("flags"))
+
+
+def project_tree(files: DataFrame, depth: int = 3, path: str = "path") -> DataFrame:
+    """(prefix, n_files, bytes): files below each prefix of at most ``depth`` parts, in order; ``bytes`` where a length is given."""
+    prefix = F.array_join(F.slice(F.split(path, "/"), 1, depth), "/")
+    size = F.sum("length") if "length" in files.columns else F.lit(None).cast("bigint")
+    return files.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n_files"), size.alias("bytes")).orderBy("prefix")
+
+
+def counts_beside(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The rows with the number of rows of equal value for each column, under the given names; nulls are equal to each other.
+
+    Counted before the join, where a window would bring all rows of a value into one task.
+    """
+    out = df
+    for column, name in columns.items():
+        n = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias(name))
+        out = out.join(n, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
+    return out
+
+
+def of_scalar(df: DataFrame, column: str, rows: DataFrame, value: str) -> DataFrame:
+    """Rows whose column equals a scalar subquery, a table of one row or none; more rows are an error."""
+    one = rows.agg(F.when(F.count("*") > 1, F.raise_error(F.lit("more than one row"))).otherwise(F.first(value)).alias("_value"))
+    return df.join(one, F.col(column) == F.col("_value"), "left_semi")
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all([df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()])
 

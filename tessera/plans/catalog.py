@@ -284,8 +284,7 @@ def path_parts(spark, d):
 
 @query(f"SELECT substr(file_path, 1, CASE WHEN len(string_split(file_path, '/')) > 3 THEN length(array_to_string(string_split(file_path, '/')[:3], '/')) ELSE length(file_path) END) AS prefix, count(*) AS n_files FROM {FILES} GROUP BY 1")
 def project_tree(spark, d):
-    prefix = F.array_join(F.slice(F.split("file_path", "/"), 1, 3), "/")
-    return _files(spark, d).groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n_files"))
+    return reports.project_tree(_files(spark, d), path="file_path").select("prefix", "n_files")
 
 
 @query(
@@ -503,8 +502,8 @@ def project_stats_totals(spark, d):
 
 @query("SELECT nullif(lower(trim(project_id)), '') AS project_id, string_agg(DISTINCT lower(language), ',' ORDER BY lower(language)) AS flags FROM code_chunks WHERE language IS NOT NULL GROUP BY 1")
 def project_stats_flags(spark, d):
-    c = table(spark, d, "code_chunks").where("language is not null")
-    return c.groupBy(norm_key(F.col("project_id")).alias("project_id")).agg(F.array_join(F.array_sort(F.map_keys(F.map_from_arrays(F.collect_set(F.lower("language")), F.transform(F.collect_set(F.lower("language")), lambda x: F.lit(1))))), ",").alias("flags"))
+    c = table(spark, d, "code_chunks").where("language is not null").select(norm_key(F.col("project_id")).alias("project_id"), "language")
+    return reports.language_flags(c).select("project_id", F.array_join(F.map_keys("flags"), ",").alias("flags"))
 
 
 @query(f"SELECT p.project_id, p.project_name, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_files, 0) AS n_files, coalesce(n_languages, 0) AS n_languages, last_update FROM {LATEST_PROJECTS} p LEFT JOIN (SELECT project_id, count(*) AS n_chunks, count(DISTINCT file_path) AS n_files, count(DISTINCT language) AS n_languages, max(updated_at) AS last_update FROM {ONE_CHUNK} GROUP BY 1) USING (project_id)")
@@ -550,11 +549,7 @@ def distinct_with_window(spark, d):
 @query("SELECT chunk_id, count(*) OVER (PARTITION BY language) AS by_language, count(*) OVER (PARTITION BY chunk_type) AS by_type FROM (SELECT DISTINCT chunk_id, language, chunk_type FROM code_chunks)")
 def window_counts(spark, d):
     c = table(spark, d, "code_chunks").select("chunk_id", "language", "chunk_type").distinct()
-    # counts of few values: aggregated before the join, where a window would sort every row of a value in one task
-    a = c.groupBy(F.coalesce("language", F.lit("\0")).alias("l")).agg(F.count("*").alias("by_language"))
-    b = c.groupBy(F.coalesce("chunk_type", F.lit("\0")).alias("t")).agg(F.count("*").alias("by_type"))
-    j = c.withColumns({"l": F.coalesce("language", F.lit("\0")), "t": F.coalesce("chunk_type", F.lit("\0"))})
-    return j.join(a, "l").join(b, "t").select("chunk_id", "by_language", "by_type")
+    return reports.counts_beside(c, {"language": "by_language", "chunk_type": "by_type"}).select("chunk_id", "by_language", "by_type")
 
 
 @query(
@@ -606,8 +601,8 @@ def join_inner_aggregate(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 1)")
 def scalar_subquery(spark, d):
-    top = table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(1).select("c_custkey")
-    return table(spark, d, "orders").join(F.broadcast(top), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey")
+    top = table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(1)
+    return reports.of_scalar(table(spark, d, "orders"), "o_custkey", top, "c_custkey").select("o_orderkey")
 
 
 # ---- events --------------------------------------------------------------------------------------------------------

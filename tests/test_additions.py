@@ -211,3 +211,18 @@ def test_ingest_into(spark, tmp_path):
     assert ingest.ingest_into(files, str(tmp_path / "chunks"), "p")["chunks_skipped"] == 2 and spark.read.parquet(str(tmp_path / "chunks")).count() == 2
     best = spark.createDataFrame([("b.js", 0.5)], "file_path string, similarity_score double")
     assert vector.fetch(best, spark.read.parquet(str(tmp_path / "chunks")), "file_path").count() == 1
+
+
+def test_reports(spark):
+    from tessera.operators import reports
+
+    df = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, None, None)], "i int, k string, m string")
+    assert sorted(tuple(r) for r in reports.counts_beside(df, {"k": "nk", "m": "nm"}).select("i", "nk", "nm").collect()) == [(1, 2, 2), (2, 2, 1), (3, 1, 2)]
+    assert reports.counts_beside(df.limit(0), {"k": "nk"}).count() == 0
+    assert [r.i for r in reports.of_scalar(df, "i", spark.range(2, 3), "id").collect()] == [2] and reports.of_scalar(df, "i", spark.range(0), "id").count() == 0
+    with pytest.raises(Exception, match="more than one row"):
+        reports.of_scalar(df, "i", spark.range(2), "id").collect()
+    t = spark.createDataFrame([("a/b/c/d.py", 3), ("a/b/c/e.py", 4), ("x.py", None)], "path string, length bigint")
+    assert [tuple(r) for r in reports.project_tree(t).collect()] == [("a/b/c", 2, 7), ("x.py", 1, None)]
+    c = spark.createDataFrame([("p", "Go"), ("p", "go"), ("q", None)], "project_id string, language string")
+    assert {r.project_id: r.flags for r in reports.language_flags(c).collect()} == {"p": {"go": 1}, "q": {}}
