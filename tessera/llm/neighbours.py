@@ -245,7 +245,7 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float | None = 0
     sample = max(SAMPLE, 64 * shards)  # so many rows fit the top tree; 16 KB a shard on the driver
     share = min(1.0, sample / total)
     picked = classes.select("vec").where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * sample).toPandas()
-    top = spark.sparkContext.broadcast(TopTree(matrix(picked["vec"]) if len(picked) else np.empty((0, DIM), np.float32), shards))
+    top = spark.sparkContext.broadcast(TopTree(matrix(sorted(picked["vec"])) if len(picked) else np.empty((0, DIM), np.float32), shards))
     slack = 0.0 if least is None else float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) / relax
 
     def route(width: float, mark: int, by_floor: bool = False):
@@ -272,6 +272,7 @@ def neighbours(vectors: DataFrame, key: str, k: int = 5, least: float | None = 0
     visits = asking.select("cls", "vec").mapInPandas(route(slack, 1), schema).withColumn("salt", mine)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cls", kind="stable", ignore_index=True)  # the same tree whatever order the rows come in
         asks = group["asks"].to_numpy() == 1
         pid, qid = group["cls"].to_numpy()[~asks], group["cls"].to_numpy()[asks]
         if not len(pid) or not len(qid):
