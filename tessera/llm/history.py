@@ -175,7 +175,7 @@ def digest(*parts: Column) -> Column:
 
 
 class SignatureForest:
-    """A forest persisted under ``path``: ``texts`` (sets of the texts seen), ``runs`` (sorted entries) and ``known`` (hashes and
+    """A forest persisted under ``path``: ``texts`` (sets of the texts seen, one part a batch), ``runs`` (sorted entries) and ``known`` (hashes and
     classes) of the accepted ones.
 
     ``accept(batch)`` takes (chunk_id, scope, content) rows, with or without content_hash and at, and returns (chunk_id, scope,
@@ -201,15 +201,23 @@ class SignatureForest:
         found = self._list(kind)
         return self.spark.read.schema(schema).parquet(*found) if found else None
 
-    def _write(self, df: DataFrame, kind: str, by: list[str] | None = None) -> None:
-        df.write.partitionBy(*(by or [])).option("compression", "zstd").parquet(f"{self.path}/{kind}/{len(self._list(kind)):06d}-{uuid.uuid4().hex[:8]}")
+    def _slices(self) -> list[int]:
+        """Numbers of the batches whose texts are held."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/texts")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.removeprefix("slice=")) for n in names if n.startswith("slice="))
+
+    def _write(self, df: DataFrame, kind: str) -> None:
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{kind}/{len(self._list(kind)):06d}-{uuid.uuid4().hex[:8]}")
 
     def _write_run(self, df: DataFrame) -> None:
         self._write(df.repartitionByRange("scope", "tree", "prefix").sortWithinPartitions("scope", "tree", "prefix", "tail"), "runs")
 
     def add_texts(self, rows: DataFrame) -> None:
         """Read (chunk_id, scope, hash, at, slice, content) rows into sets; nothing is accepted yet."""
-        self._write(signatures(rows, "chunk_id", "content", keep=("scope", "hash", "at", "slice"), scope="scope", part="slice").select(*[c.split()[0] for c in TEXTS.split(", ")]), "texts", ["slice"])
+        sets = signatures(rows, "chunk_id", "content", keep=("scope", "hash", "at", "slice"), scope="scope", part="slice")
+        sets.write.mode("append").partitionBy("slice").option("compression", "zstd").parquet(f"{self.path}/texts")
 
     def history(self, scopes: list[str] | None) -> DataFrame | None:
         """Entries of all runs, of the named scopes only where they are few."""
@@ -219,14 +227,14 @@ class SignatureForest:
     def accept(self, batch: DataFrame) -> DataFrame:
         given = F.lower("content_hash") if "content_hash" in batch.columns else F.lit(None).cast("string")
         at = F.col("at").cast("bigint") if "at" in batch.columns else F.lit(0).cast("bigint")
-        no = len(self._list("texts"))
+        no = max(self._slices(), default=-1) + 1
         rows = batch.where("chunk_id is not null and scope is not null")
         self.add_texts(rows.select("chunk_id", "scope", given.alias("hash"), at.alias("at"), F.lit(no).alias("slice"), "content"))
         return self.accept_texts(no).select("chunk_id", "scope", "at", "accepted")
 
     def accept_texts(self, slice_no: int) -> DataFrame:
         """Decide the texts of one slice, in order of ``at``, against the history and each other, and add what is accepted."""
-        past = self._read("texts", TEXTS).where(F.col("slice") <= slice_no)
+        past = self.spark.read.schema(TEXTS).parquet(f"{self.path}/texts").where(F.col("slice") <= slice_no)
         texts = past.where(F.col("slice") == slice_no)
         # a repeated row of a chunk counts once, at its earliest
         rows = texts.groupBy("chunk_id").agg(F.min_by(F.struct("scope", "hash", "at", "cls", "c8"), F.struct("at", "scope", "hash")).alias("r")).select("chunk_id", "r.*")
